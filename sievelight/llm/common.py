@@ -6,7 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +79,12 @@ def utf8(array: pa.Array) -> list[bytes]:
 
 
 #: Full stops and commas after an ASCII or Latin-1 letter, at the end of a chunk.
-_TAIL = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,]+(?=[\x20\x09-\x0d]|$)")
+_TAIL = re.compile(rb"[.,](?:(?<=[a-z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))[.,]*(?=[\x20\x09-\x0d]|$)")
+#: Lower-case ASCII and Latin-1 letters and nothing else.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Byte-level vocabularies write a byte as itself where that is a visible character, else as the next code point from 256.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 class ChunkEncoder:
@@ -99,6 +106,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        self.model = self.tokenizer.model
         self.kept: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -118,11 +126,16 @@ class ChunkEncoder:
         if len(self.kept) > self.limit:
             self.kept.clear()
         kept, long = self.kept, []
-        new = list({c for own in chunks for c in own if c not in kept})
+        new = [c for c in set(chain.from_iterable(chunks)) if c not in kept]
+        for c in new:
+            if len(c) <= self.longest and _PLAIN(c):
+                # nothing to normalise or to split: the model alone
+                kept[c] = array("I", [t.id for t in self.model.tokenize(c.decode() if c.isascii() else c.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        new = [c for c in new if c not in kept]
         for i in range(0, len(new), 1024):
             part = new[i : i + 1024]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                kept[c] = np.array(e.ids, "<u4").tobytes()
+                kept[c] = array("I", e.ids).tobytes()
                 if len(c) > self.longest:
                     long.append(c)
         out = [b"".join(map(kept.__getitem__, own)) for own in chunks]

@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import chunk_encoder, shared_dir, shuffle_partitions, table, utf8, vocabulary
+from sievelight.llm.common import chunk_encoder, shared_dir, shuffle_partitions, stored, table, utf8, vocabulary
 
+#: Rows of a table of files that may be broadcast.
+FEW_FILES = 100_000
 SCHEMA = "doc_id long, file_start long, n_tokens long, ids array<int>"
 
 
@@ -76,7 +78,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SCHEMA).parquet(path).withColumn("file", F.col("_metadata.file_name"))
     totals = files.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1))
-    bases = totals.select("file", F.coalesce(before, F.lit(0)).alias("base"))
+    bases = stored(totals.select("file", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    # one row a file; its size is checked before it is sent to all executors
+    bases = F.broadcast(bases) if bases.count() <= FEW_FILES else bases
     return files.join(bases, "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 
