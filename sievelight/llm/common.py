@@ -118,8 +118,8 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            out += self._encode([self.chunks(t) for t in texts[i : i + 256]])
+        for i in range(0, len(texts), 1024):
+            out += self._encode([self.chunks(t) for t in texts[i : i + 1024]])
         return out
 
     def _encode(self, chunks: list[list[bytes]]) -> list[bytes]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, language_id, media, mixing, packing, quality_model, quality_rules, token_files
+from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": token_files.op2_token_files,
         "op3_chat": chat.op3_chat,
         "op4_mixing": mixing.op4_mixing,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_packing": packing.op6_packing,
         "op7_language_id": language_id.op7_language_id,
         "op9_quality_model": quality_model.op9_quality_model,
