@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import stored, table, utf8
+from sievelight.llm.common import released, stored, table, utf8
 from sievelight.llm.components import components
 
 SHINGLE = 5
@@ -252,13 +253,6 @@ def _pairs(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _token_sets(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            sets = [shingles(t) for t in utf8(batch.column(0).slice(i, 1024))]
-            yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
-
-
 def similar(x: np.ndarray, y: np.ndarray, classes: np.ndarray) -> bool:
     """Whether two sets meet the threshold: the other orders' prefixes first, then the sets."""
     for order in range(1, len(ORDERS) + 1):
@@ -272,22 +266,24 @@ def similar(x: np.ndarray, y: np.ndarray, classes: np.ndarray) -> bool:
 def _verified(shared):
     def run(batches):
         classes = np.frombuffer(shared.value, np.uint8)
+        of = lru_cache(maxsize=256)(shingles)
         for batch in batches:
-            sets = [[np.frombuffer(v, np.uint64) for v in batch.column(k).to_pylist()] for k in (2, 3)]
-            good = [similar(x, y, classes) for x, y in zip(*sets, strict=True)]
+            good = [similar(of(x), of(y), classes) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> DataFrame:
-    """The pairs of classes that are similar. Token sets are made again, for the classes in pairs alone."""
+    """The pairs of classes that are similar. One text of each class in pairs travels; it packs better than its set."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = classes.join(wanted, "cls", "left_semi").select(F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
-    texts = docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = stored(texts.select("text").mapInArrow(_token_sets, "cls binary, tokens binary"), "sets").dropDuplicates(["cls"])
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(_verified(shared), "a binary, b binary"), "links")
+    reps = classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
+    found = docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
+    texts = stored(found, "texts", compression="zstd").dropDuplicates(["cls"])
+    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(_verified(shared), "a binary, b binary"), "links")
+    released(docs.sparkSession)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,6 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # copies in different tasks send the same rows
     emitted = emitted.select("token", "cls", "n", "pos", "frequent")
     buckets = stored(emitted.mapInArrow(_bucketed, BUCKETED), "buckets", compression="zstd")
+    del emitted
+    released(spark)
     large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
     heads = large.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("head"))
     star = large.join(heads, "token").filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
