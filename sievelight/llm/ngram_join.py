@@ -4,8 +4,9 @@ Prefix filtering over several global token orders. Every order puts frequent
 tokens (by a count sketch of all documents) last and breaks ties by another
 hash. Under each order two sets with Jaccard similarity of at least 0.8 share
 a token of their prefixes. The first order's prefixes, with the size and
-positional filters, give candidates; a candidate is dropped unless the other
-orders' prefixes meet too, and what is left is verified exactly.
+positional filters, give candidates; a candidate is dropped unless the
+profiles of its sets leave room for enough overlap and the other orders'
+prefixes meet too, and what is left is verified exactly.
 
 Equal sets are one class from the start. Buckets of frequent tokens are dealt
 by row, not by token: each is first compared to one representative, and only
@@ -67,6 +68,21 @@ def class_key(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=12).digest() if len(tokens) else None
 
 
+def profile(tokens: np.ndarray) -> bytes:
+    """How many tokens fall to each of 256 slots; empty where a count leaves a byte."""
+    counts = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_meet(x: bytes, y: bytes) -> bool:
+    """Whether the profiles leave room for the overlap that the sizes ask for: no intersection exceeds the sum of the slots' minima."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    most, total = int(np.minimum(a, b).sum(dtype=np.int64)), int(a.sum(dtype=np.int64) + b.sum(dtype=np.int64))
+    return (NUM + DEN) * most >= NUM * total
+
+
 def probe_length(n):
     """Prefix that meets every set of at least 0.8 n tokens."""
     return n + NUM * -n // DEN + 1
@@ -83,24 +99,25 @@ def index_length(n):
 def _surveyed(batches):
     seen: set[bytes] = set()
     counts = np.zeros(SLOTS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("profile", pa.binary()), ("sketch", pa.binary())])
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
-            sizes, keys = [], []
+            sizes, keys, profiles = [], [], []
             for t in utf8(part.column(1)):
                 tokens = shingles(t)
                 key = class_key(tokens)
                 sizes.append(len(tokens))
                 keys.append(key)
+                profiles.append(profile(tokens))
                 if key is not None and key not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(key)
                     np.add.at(counts, (tokens & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(profiles, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema)
     if counts.any():
         data = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([data], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([data], pa.binary())], schema=schema)
 
 
 def _added(batches):
@@ -263,6 +280,19 @@ def similar(x: np.ndarray, y: np.ndarray, classes: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
+def _bounded(batches):
+    for batch in batches:
+        good = [may_meet(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose profiles leave room for enough overlap: a bound, so no link is lost."""
+    sides = [classes.select(F.col("cls").alias(k), F.col("profile").alias(f"p{k}")) for k in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "pa", "pb")
+    return stored(both.mapInArrow(_bounded, "a binary, b binary"), "pairs")
+
+
 def _verified(shared):
     def run(batches):
         classes = np.frombuffer(shared.value, np.uint8)
@@ -297,10 +327,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    survey = stored(rows.mapInArrow(_surveyed, "doc_id long, text_key long, n_shingles long, cls binary, sketch binary"), "survey", compression="zstd")
+    survey = stored(rows.mapInArrow(_surveyed, "doc_id long, text_key long, n_shingles long, cls binary, profile binary, sketch binary"), "survey", compression="zstd")
     members = survey.filter("sketch IS NULL").drop("sketch")
     shared = spark.sparkContext.broadcast(token_classes(survey.filter("sketch IS NOT NULL").select("sketch")).tobytes())
-    classes = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = stored(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"), F.min("profile").alias("profile")), "classes", compression="zstd")
 
     emitted = rows.select("text").mapInArrow(_prefixes(shared), EMITTED).repartition("spread").sortWithinPartitions("spread", "token", "cls")
     # copies in different tasks send the same rows
@@ -311,7 +341,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
     heads = large.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("head"))
     star = large.join(heads, "token").filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    pairs = stored(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(star.select(F.col("cls").alias("a"), F.col("head.cls").alias("b")))), "pairs")
+    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(star.select(F.col("cls").alias("a"), F.col("head.cls").alias("b")))), classes)
     links = _verify(pairs, rows, classes, shared)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -320,7 +350,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tops = heads.select("token", F.col("head.cls").alias("top")).join(roots, F.col("top") == F.col("node"), "left").select("token", F.coalesce("root", "top").alias("top_root"))
     outside = placed.join(tops, "token").filter(F.col("root") != F.col("top_root")).select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     rest = outside.join(placed, "token").filter((F.col("ra") != F.col("root")) & _met(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
-    more = stored(_pairs(rest.select("a", F.col("cls").alias("b"))).join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = _plausible(_pairs(rest.select("a", F.col("cls").alias("b"))).join(pairs, ["a", "b"], "left_anti"), classes)
     if not more.isEmpty():
         links = links.union(_verify(more, rows, classes, shared))
         roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
