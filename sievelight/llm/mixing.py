@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import stored, table, word_count
+from sievelight.llm.common import stored, table, word_count, words
 
 #: Weights that sources take in turn, in order of their names.
 WEIGHTS = (3, 1, 2)
@@ -124,5 +124,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return laid.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"mix_carry.{c}").alias(f"carry_{c}") for c in carry])
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each whole copy, and one with the first words where a block ends within a document."""
+    laid = mix(docs, carry=docs.columns, **settings).filter("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    # -1: the whole text
+    rows = laid.withColumn("words", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>")))))
+    text = F.when(F.col("words") < 0, F.col("carry_text")).otherwise(F.array_join(F.slice(words(F.col("carry_text")), 1, F.greatest("words", F.lit(1))), " "))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"carry_{c}").alias(c) for c in docs.columns])
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -317,7 +317,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> Da
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id and text_key (the text's hash) for every row of ``docs`` (doc_id, text).
 
     Null, empty and blank texts have no shingles and are linked with nothing.
     ``component_id`` is the smallest id among the rows reachable by links
@@ -358,8 +358,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("cls", "root").join(names, "root").select(F.col("cls").alias("key"), "component_id")
-    return members.join(of, F.col("cls") == F.col("key"), "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named_rows = members.join(of, F.col("cls") == F.col("key"), "left")
+    return named_rows.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component; repeated rows count once.
+
+    Texts without words all stay. Of a component whose rows all lack ids
+    every row stays.
+    """
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = found.select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), F.col("n_shingles").alias("near_n")).distinct()
+    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_key")), "left_semi")
+    ids = docs.groupBy("doc_id").count().filter(F.col("doc_id").isNotNull() & (F.col("count") > 1))
+    return kept if ids.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -133,5 +133,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Dat
     return featured.select("doc_id", "features", held_out(F.col("doc_id"), folds, 0).alias("held_out")).mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def _passing(model: Network | float, column: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x = np.array([features(t) for t in utf8(part.column(column))], np.float32).astype(np.float64)
+                s = model.score(x) if isinstance(model, Network) else np.full(len(x), model)
+                yield part.filter(pa.array(s >= THRESHOLD))
+
+    return run
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """The rows of ``docs``, whole, that the classifier doesn't reject."""
+    model = train(stored(featurize(docs), "quality"), labels, folds)
+    return docs.mapInArrow(_passing(model, docs.columns.index("text")), docs.schema)
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

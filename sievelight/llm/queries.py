@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, token_files
+from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_packing": packing.op6_packing,
         "op7_language_id": language_id.op7_language_id,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
