@@ -108,7 +108,7 @@ class ChunkEncoder:
     kept.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
