@@ -17,6 +17,8 @@ from sievelight.llm.common import held_out, table
 LONGEST, RANKS, TRAINING, FOLDS, FOLD = 4, 400, 6_000, 4, 2
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
+#: The low bits of a gram's hash are free, to carry a count while grams are sorted.
+_LOW = np.int64(0xFFFF)
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -29,7 +31,7 @@ def _word_grams(word: str) -> np.ndarray:
         h = (h[: len(code) - n + 1] * _ODD) + code[n - 1 :]
         mixed = (h ^ (h >> np.uint64(31))) * _MIX
         out.append(mixed[1:-1] if n == 1 else mixed)
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out).view(np.int64) & ~_LOW
 
 
 def letter_runs(text: str) -> dict[str, int]:
@@ -47,8 +49,14 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = [_word_grams(w) for w in runs]
     weight = np.repeat(np.fromiter(runs.values(), np.int64, len(runs)), [len(g) for g in grams])
-    keys, at = np.unique(np.concatenate(grams), return_inverse=True)
-    return keys, np.bincount(at, weight, minlength=len(keys)).astype(np.int64)
+    keys = np.concatenate(grams)
+    if weight.max() > _LOW:
+        keys, at = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(at, weight, minlength=len(keys)).astype(np.int64)
+    both = np.sort(keys | weight)
+    keys = both & ~_LOW
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(both & _LOW, first)
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, ranks: int = RANKS) -> np.ndarray:
@@ -96,7 +104,9 @@ def _training_counts(batches):
 def learn(docs: DataFrame, most: int = TRAINING) -> Profiles:
     """Profiles from at most ``most`` training rows (those with the smallest hash of their id), counted on the executors."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "lang")
+    # the ids are drawn first, so only they meet in one place; the rows are counted where they lie
+    drawn = rows.select(F.xxhash64("doc_id").alias("at"), F.col("doc_id").alias("drawn_id")).distinct().orderBy("at", "drawn_id").limit(most).select("drawn_id")
+    sample = rows.join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("drawn_id")), "left_semi").select("text", "lang")
     counts = sample.mapInArrow(_training_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= RANKS)
     grams: dict[str, list[tuple[int, int]]] = {}
