@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -9,7 +10,6 @@ import tempfile
 import uuid
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,22 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def trimmed(run):
+    """``run`` over Arrow batches, with what it freed given back to the system at its end: workers live on and share an executor's memory."""
+
+    def freeing(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return freeing
+
+
 def batches(columns: dict[str, pa.DataType], rows: list[tuple], step: int = 1 << 14):
     """Arrow batches of at most ``step`` rows from a list of tuples."""
     names, types = list(columns), list(columns.values())
@@ -85,36 +101,39 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in array.cast(pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()).to_pylist()]
 
 
-#: Full stops and commas after an ASCII or Latin-1 letter, at the end of a chunk.
-_TAIL = re.compile(rb"[.,](?:(?<=[a-z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))[.,]*(?=[\x20\x09-\x0d]|$)")
-#: Lower-case ASCII and Latin-1 letters and nothing else.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: ASCII symbols (not the apostrophe) after an ASCII or Latin-1 letter, at the end of a chunk.
+_SYMBOL = rb"[!-&(-/:-@\[-`{-~]"
+_TAIL = re.compile(rb"%s(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))%s*(?=[\x20\x09-\x0d]|$)" % (_SYMBOL, _SYMBOL), re.DOTALL)
+#: Lower-case ASCII letters, Latin-1 letters and nothing else.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 #: Byte-level vocabularies write a byte as itself where that is a visible character, else as the next code point from 256.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
-class ChunkEncoder:
+class ChunkEncoder(dict):
     """The tokenizers library behind a cache of blank-separated chunks.
 
     It serves tokenizers that compose (NFC), fold case, drop white space and
     then split letters from punctuation, as ``word_bpe_49k.json`` does: such a
     text has the concatenated ids of the chunks between its ASCII blanks, so
-    each distinct chunk is encoded once by the library and looked up after
-    that. Fewer chunks are distinct once ASCII letters are lower-cased and
-    trailing stops are cut off; neither changes an id unless the text has
-    combining marks or the bracket of a special token, and such texts are only
-    split. ``limit`` bounds the cache; chunks over ``longest`` bytes are never
-    kept.
+    a chunk is encoded by the library when it is met and looked up after that.
+    Fewer chunks are distinct once ASCII letters are lower-cased and trailing
+    symbols are cut off; neither changes an id unless the text has combining
+    marks or the bracket of a special token, and such texts are only split.
+
+    The cache is two generations of at most about ``half`` chunks: a full
+    young one replaces the old one, from which chunks that are met again move
+    up. Chunks over ``longest`` bytes are never kept.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, half: int = 200_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        self.tokenizer, self.half, self.longest = Tokenizer.from_file(path), half, longest
         self.model = self.tokenizer.model
-        self.kept: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def chunks(text: bytes) -> list[bytes]:
@@ -122,32 +141,32 @@ class ChunkEncoder:
             return text.split()
         return _TAIL.sub(rb" \g<0>", text.lower()).split()
 
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = array("I", self._ids(chunk)).tobytes()
+            if len(chunk) > self.longest:
+                return ids
+        self[chunk] = ids
+        return ids
+
+    def _ids(self, chunk: bytes) -> list[int]:
+        # letters alone leave nothing to compose or to split: the model is enough
+        if len(chunk) <= self.longest:
+            if chunk.isalpha() and chunk.islower():
+                return [t.id for t in self.model.tokenize(chunk.decode())]
+            if _PLAIN(chunk):
+                return [t.id for t in self.model.tokenize(chunk.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
+        return self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 1024):
-            out += self._encode([self.chunks(t) for t in texts[i : i + 1024]])
-        return out
-
-    def _encode(self, chunks: list[list[bytes]]) -> list[bytes]:
-        if len(self.kept) > self.limit:
-            self.kept.clear()
-        kept, long = self.kept, []
-        new = [c for c in set(chain.from_iterable(chunks)) if c not in kept]
-        for c in new:
-            if len(c) <= self.longest and _PLAIN(c):
-                # nothing to normalise or to split: the model alone
-                kept[c] = array("I", [t.id for t in self.model.tokenize(c.decode() if c.isascii() else c.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-        new = [c for c in new if c not in kept]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                kept[c] = array("I", e.ids).tobytes()
-                if len(c) > self.longest:
-                    long.append(c)
-        out = [b"".join(map(kept.__getitem__, own)) for own in chunks]
-        for c in long:
-            del kept[c]
+        get, out = self.__getitem__, []
+        for i in range(0, len(texts), 64):
+            out += [b"".join(map(get, self.chunks(t))) for t in texts[i : i + 64]]
+            if len(self) > self.half:
+                self.old = dict(self)
+                self.clear()
         return out
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import released, stored, table, utf8
+from sievelight.llm.common import released, stored, table, trimmed, utf8
 from sievelight.llm.components import components
 
 SHINGLE = 5
@@ -290,7 +290,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose profiles leave room for enough overlap: a bound, so no link is lost."""
     sides = [classes.select(F.col("cls").alias(k), F.col("profile").alias(f"p{k}")) for k in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "pa", "pb")
-    return stored(both.mapInArrow(_bounded, "a binary, b binary"), "pairs")
+    return stored(both.mapInArrow(trimmed(_bounded), "a binary, b binary"), "pairs")
 
 
 def _verified(shared):
@@ -311,7 +311,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> Da
     found = docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
     texts = stored(found, "texts", compression="zstd").dropDuplicates(["cls"])
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(_verified(shared), "a binary, b binary"), "links")
+    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(_verified(shared)), "a binary, b binary"), "links")
     released(docs.sparkSession)
     return links
 
@@ -327,15 +327,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    survey = stored(rows.mapInArrow(_surveyed, "doc_id long, text_key long, n_shingles long, cls binary, profile binary, sketch binary"), "survey", compression="zstd")
+    survey = stored(rows.mapInArrow(trimmed(_surveyed), "doc_id long, text_key long, n_shingles long, cls binary, profile binary, sketch binary"), "survey", compression="zstd")
     members = survey.filter("sketch IS NULL").drop("sketch")
     shared = spark.sparkContext.broadcast(token_classes(survey.filter("sketch IS NOT NULL").select("sketch")).tobytes())
     classes = stored(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"), F.min("profile").alias("profile")), "classes", compression="zstd")
 
-    emitted = rows.select("text").mapInArrow(_prefixes(shared), EMITTED).repartition("spread").sortWithinPartitions("spread", "token", "cls")
+    emitted = rows.select("text").mapInArrow(trimmed(_prefixes(shared)), EMITTED).repartition("spread").sortWithinPartitions("spread", "token", "cls")
     # copies in different tasks send the same rows
     emitted = emitted.select("token", "cls", "n", "pos", "frequent")
-    buckets = stored(emitted.mapInArrow(_bucketed, BUCKETED), "buckets", compression="zstd")
+    buckets = stored(emitted.mapInArrow(trimmed(_bucketed), BUCKETED), "buckets", compression="zstd")
     del emitted
     released(spark)
     large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.common import batches as arrow_batches
-from sievelight.llm.common import chunk_encoder, shuffle_partitions, stored, table, utf8, vocabulary
+from sievelight.llm.common import chunk_encoder, shuffle_partitions, stored, table, trimmed, utf8, vocabulary
 
 #: Buckets of the hashed vector, dimensions of the curve, bits of each.
 BUCKETS, DIMENSIONS, BITS = 512, 4, 12
@@ -150,10 +150,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, p
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = stored(rows.mapInArrow(_keyed(tokenizer, end_id), "doc_id long, curve long, doc_tokens long, ids binary"), "pack", compression="zstd")
+    keyed = stored(rows.mapInArrow(trimmed(_keyed(tokenizer, end_id)), "doc_id long, curve long, doc_tokens long, ids binary"), "pack", compression="zstd")
     sorted_ = keyed.repartitionByRange(partitions or shuffle_partitions(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     schema = ", ".join(f"{c} long" for c in PIECE)
-    return sorted_.mapInArrow(_packed(length), schema)
+    return sorted_.mapInArrow(trimmed(_packed(length)), schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

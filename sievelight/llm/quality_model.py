@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import held_out, stored, table, utf8
+from sievelight.llm.common import held_out, stored, table, trimmed, utf8
 from sievelight.llm.textstats import CLASSES, COMMON, text_stats
 
 #: Rows of positives and of unlabelled text that the fit may hold, at most; the figures of all other rows are only scored.
@@ -117,7 +117,7 @@ def _scored(model: Network | float):
 
 
 def featurize(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_featured, "doc_id long, features array<float>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_featured), "doc_id long, features array<float>")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -130,7 +130,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Dat
     """
     featured = stored(featurize(docs), "quality")
     model = train(featured, labels, folds)
-    return featured.select("doc_id", "features", held_out(F.col("doc_id"), folds, 0).alias("held_out")).mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    return featured.select("doc_id", "features", held_out(F.col("doc_id"), folds, 0).alias("held_out")).mapInArrow(trimmed(_scored(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _passing(model: Network | float, column: int):
@@ -148,7 +148,7 @@ def _passing(model: Network | float, column: int):
 def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The rows of ``docs``, whole, that the classifier doesn't reject."""
     model = train(stored(featurize(docs), "quality"), labels, folds)
-    return docs.mapInArrow(_passing(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(trimmed(_passing(model, docs.columns.index("text"))), docs.schema)
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import released, stored, table, utf8
+from sievelight.llm.common import released, stored, table, trimmed, utf8
 
 #: Bytes of a string that counts, of the grams that anchor it, and grams in it.
 LENGTH, GRAM = 200, 64
@@ -394,21 +394,21 @@ SPANS = "array<struct<a:long,b:long>>"
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """tid, copies and covered byte spans [a, b) of every distinct text of ``rows`` (tid, text)."""
-    grams = rows.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
+    grams = rows.select("text").mapInArrow(trimmed(_grams), "gram long").groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
     grams = stored(grams, "grams")
-    places = rows.select("tid", "text").mapInArrow(_places, "gram long, tid binary, place long").join(grams, "gram").groupBy("tid").agg(F.collect_set("place").alias("places"))
+    places = rows.select("tid", "text").mapInArrow(trimmed(_places), "gram long, tid binary, place long").join(grams, "gram").groupBy("tid").agg(F.collect_set("place").alias("places"))
     copies = stored(rows.groupBy("tid").agg(F.count("*").alias("copies")), "copies")
     places = stored(places.join(copies, "tid").select("tid", F.array_sort("places").alias("places"), "copies"), "places", compression="zstd")
     released(rows.sparkSession)
     # copies of one text beyond the first in a task add nothing; a text that only repeats as a whole is listed too
-    runs = stored(rows.join(places, "tid").select("tid", "text", "places", "copies").mapInArrow(_runs, RUNS), "runs", compression="zstd")
+    runs = stored(rows.join(places, "tid").select("tid", "text", "places", "copies").mapInArrow(trimmed(_runs), RUNS), "runs", compression="zstd")
     released(rows.sparkSession)
     blocks = runs.filter("n IS NOT NULL")
     total = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
     ranges = math.ceil(total / RANGE)
     drawn = sorted(r[0][:SPLITTER_BYTES] for r in blocks.select("first").orderBy(F.xxhash64("first")).limit(DRAWN * ranges).collect())
     splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)})
-    pieces = blocks.select("first", "n", "lcp", "size", "rest", "meta").mapInArrow(_cut(splitters), PIECES)
+    pieces = blocks.select("first", "n", "lcp", "size", "rest", "meta").mapInArrow(trimmed(_cut(splitters)), PIECES)
     found = stored(pieces.groupBy("range").applyInArrow(_merged, FOUND), "found", compression="zstd")
     cut = found.filter("window IS NOT NULL")
     again = cut.groupBy("window").agg(F.sum("times").alias("all")).filter("all > 1").select("window")
@@ -457,7 +457,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     spans = repeated_spans(rows.select("tid", "text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
-    return rows.join(spans, "tid").select("row", "text", "copies", "spans").mapInArrow(_kept, schema)
+    return rows.join(spans, "tid").select("row", "text", "copies", "spans").mapInArrow(trimmed(_kept), schema)
 
 
 def _decoded(batches):
@@ -468,7 +468,7 @@ def _decoded(batches):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeats cut out of ``text``; a null text stays null, a character that a cut splits goes."""
     kept = remove_repeats(docs, docs.columns).select("row", "kept")
-    texts = kept.mapInArrow(_decoded, f"row {kept.schema['row'].dataType.simpleString()}, text string")
+    texts = kept.mapInArrow(trimmed(_decoded), f"row {kept.schema['row'].dataType.simpleString()}, text string")
     return texts.select(*[F.when(F.col("row.text").isNotNull(), F.col("text")).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

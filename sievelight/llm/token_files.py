@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import chunk_encoder, shared_dir, shuffle_partitions, stored, table, utf8, vocabulary
+from sievelight.llm.common import chunk_encoder, shared_dir, shuffle_partitions, stored, table, trimmed, utf8, vocabulary
 
 #: Rows of a table of files that may be broadcast.
 FEW_FILES = 100_000
@@ -66,7 +66,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, encodi
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_encoded(tokenizer, end_id), SCHEMA).write.options(**parquet_options(encoding)).parquet(path)
+    rows.mapInArrow(trimmed(_encoded(tokenizer, end_id)), SCHEMA).write.options(**parquet_options(encoding)).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -95,4 +95,4 @@ def _digested(batches):
 def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = shared_dir(spark, "op2")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or vocabulary(), end_id=2)
-    return read_tokens(spark, path).mapInArrow(_digested, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).mapInArrow(trimmed(_digested), "doc_id long, start long, n_tokens long, ids_crc32 long")
