@@ -38,16 +38,21 @@ def golden(df: DataFrame, key: str, order: str, strategies: dict[str, str], upda
 
 
 def clean(df: DataFrame, row_id: str, members: DataFrame, goldens: DataFrame) -> DataFrame:
-    """Rows outside confirmed clusters with their status, and one golden row for each confirmed cluster, in row order.
+    """One golden row for each confirmed cluster that has one, and all other rows with their status.
 
-    ``members``: row_id, cluster, status; ``goldens``: cluster and values.
+    ``members``: row_id, cluster, status; ``goldens``: cluster and values. The
+    golden row takes the place of its cluster's first row and lists the rows
+    it stands for; sort by ``row_id`` for the order of ``df``.
     """
-    status = members.select(F.col(row_id).alias("_id"), "cluster", "status")
-    rest = df.join(status.filter("status = 'confirmed'").select("_id"), F.col(row_id) == F.col("_id"), "left_anti")
-    labelled = rest.join(status, F.col(row_id) == F.col("_id"), "left").withColumn("_dq_status", F.when(F.col("status") == "pending", "pending_review").when(F.col("status").isNotNull(), "reviewed_distinct").otherwise("unique")).drop("_id", "cluster", "status")
-    first = status.filter("status = 'confirmed'").groupBy("cluster").agg(F.min("_id").alias(row_id))
-    merged = goldens.join(first, "cluster").drop("cluster").withColumn("_dq_status", F.lit("golden"))
-    return labelled.unionByName(merged, allowMissingColumns=True)
+    status = members.select(F.col(row_id).alias("_id"), F.col("cluster").alias("_dq_cluster_id"), "status").join(df.select(F.col(row_id).alias("_id")), "_id", "left_semi")
+    merged = status.filter("status = 'confirmed'").join(goldens.select(F.col("cluster").alias("_dq_cluster_id")), "_dq_cluster_id", "left_semi")
+    rest = df.join(merged.select("_id"), F.col(row_id) == F.col("_id"), "left_anti")
+    label = F.when(F.col("status").isNull(), "unique").when(F.col("status") == "split", "reviewed_distinct").otherwise("pending_review")
+    labelled = rest.join(status, F.col(row_id) == F.col("_id"), "left").withColumn("_dq_status", label).drop("_id", "status")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda x: F.concat(F.lit("r-"), x.cast("string"))), ",")
+    first = merged.groupBy("_dq_cluster_id").agg(F.min("_id").alias(row_id), names.alias("_dq_source_rows"))
+    golden_ = goldens.withColumnRenamed("cluster", "_dq_cluster_id").drop(row_id).join(first, "_dq_cluster_id").withColumn("_dq_status", F.lit("golden_record"))
+    return labelled.unionByName(golden_, allowMissingColumns=True)
 
 
 def dimensions(completeness: Column, consistency: Column, checked: Column, violations: Column, duplicates: Column, rows: Column) -> dict[str, Column]:

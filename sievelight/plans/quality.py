@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import similarity as sim
 from sievelight.functions import text as tx
-from sievelight.operators import crosscheck, golden, privacy, profile, resolve
+from sievelight.operators import crosscheck, golden, privacy, profile, resolve, review
 from sievelight.operators.rules import Rule, run_rules, violations
 
 
@@ -371,3 +371,61 @@ def dimensions(spark, d):
 @query("mon1_timeliness", "SELECT event_id, CASE WHEN event_id % 100 <= 20 THEN 1.0 ELSE greatest(0.0, 1 - (event_id % 100 - 20) / 20.0) END AS timeliness FROM events")
 def timeliness(spark, d):
     return _read(spark, d, "events").select("event_id", golden.timeliness((F.col("event_id") % 100).cast("double"), F.lit(10.0)).alias("timeliness"))
+
+
+# ---------------------------------------------------------------- review, clean export, dictionary
+
+_REVIEW = "WITH c AS (SELECT o_custkey AS cluster, CASE WHEN o_custkey % 5 = 0 THEN 'split' ELSE 'pending' END AS status, count(*) AS n FROM orders GROUP BY 1) "
+
+
+def _members(spark, d):
+    return _read(spark, d, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("id"))
+
+
+def _clusters(spark, d):
+    return _members(spark, d).select("cluster").distinct().selectExpr("cluster", "CASE WHEN cluster % 5 = 0 THEN 'split' ELSE 'pending' END AS status", "cast(1 AS double) AS cohesion")
+
+
+@query("rev1_decide", _REVIEW + """SELECT cluster, CASE WHEN status = 'pending' AND cluster % 3 = 0 AND n > 1 THEN 'confirmed' WHEN status = 'pending' AND cluster % 3 = 1 THEN 'split' ELSE status END AS status,
+ CASE WHEN cluster % 3 < 2 AND status <> 'pending' THEN 'already reviewed' WHEN cluster % 3 = 0 AND n < 2 THEN 'fewer than two members' END AS rejected FROM c""")
+def decide(spark, d):
+    clusters = _clusters(spark, d)
+    decisions = clusters.selectExpr("cluster", "CASE cluster % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'split' END AS action").filter("action IS NOT NULL")
+    return review.decide(clusters, _members(spark, d), decisions).select("cluster", "status", "rejected")
+
+
+@query("rev3_exclude", _REVIEW + """, m AS (SELECT o_custkey AS cluster, o_orderkey AS id, status FROM orders JOIN c ON c.cluster = o_custkey), l AS (SELECT * FROM m WHERE NOT (status = 'pending' AND id % 4 = 0)),
+ p AS (SELECT x.cluster, avg(((x.id + y.id) % 128) / 128.0) AS s FROM l x JOIN l y ON x.cluster = y.cluster AND x.id < y.id GROUP BY 1), k AS (SELECT c.cluster, c.status, c.n, (SELECT count(*) FROM l WHERE l.cluster = c.cluster) AS r FROM c)
+ SELECT k.cluster, CASE WHEN r < n AND r < 2 THEN 'split' ELSE status END AS status, CASE WHEN r < n AND r > 1 THEN round(s, 4) ELSE 1.0 END AS cohesion FROM k LEFT JOIN p USING (cluster)""")
+def exclude(spark, d):
+    members = _members(spark, d)
+    a, b = members.withColumnRenamed("id", "a"), members.withColumnRenamed("id", "b")
+    pairs = a.join(b, "cluster").filter("a < b").selectExpr("cluster", "a", "b", "(a + b) % 128 / 128 AS score")
+    return review.exclude(_clusters(spark, d), members, pairs, members.filter("id % 4 = 0"))[0]
+
+
+@query("cln1_clean", """WITH m AS (SELECT o_orderkey, o_totalprice, o_custkey AS k, CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'confirmed' WHEN o_custkey % 3 = 0 THEN 'split' ELSE 'pending' END AS s FROM orders)
+SELECT o_orderkey, o_totalprice, CASE WHEN s IS NOT NULL THEN k END AS cluster, CASE WHEN s IS NULL THEN 'unique' WHEN s = 'split' THEN 'reviewed_distinct' ELSE 'pending_review' END AS status, NULL AS source_rows FROM m WHERE s IS DISTINCT FROM 'confirmed'
+UNION ALL SELECT min(o_orderkey), max(o_totalprice), k, 'golden_record', string_agg(concat('r-', o_orderkey), ',' ORDER BY o_orderkey) FROM m WHERE s = 'confirmed' GROUP BY k""")
+def clean(spark, d):
+    rows = _read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    members = rows.selectExpr("o_orderkey", "o_custkey AS cluster", "CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'confirmed' WHEN o_custkey % 3 = 0 THEN 'split' ELSE 'pending' END AS status").filter("status IS NOT NULL")
+    goldens = rows.join(members.filter("status = 'confirmed'").select("o_orderkey", "cluster"), "o_orderkey").groupBy("cluster").agg(F.max("o_totalprice").alias("o_totalprice"))
+    out = golden.clean(rows.drop("o_custkey"), "o_orderkey", members, goldens)
+    return out.select("o_orderkey", "o_totalprice", F.col("_dq_cluster_id").alias("cluster"), F.col("_dq_status").alias("status"), F.col("_dq_source_rows").alias("source_rows"))
+
+
+@query("agg22_differing", "SELECT o_custkey, concat_ws(',', CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority' END) AS columns FROM orders GROUP BY 1")
+def differing(spark, d):
+    return review.differing(_read(spark, d, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"]).select("o_custkey", F.array_join("columns", ",").alias("columns"))
+
+
+@query("snk4_dictionary")
+def dictionary(spark, d):
+    rows, columns = _dirty(spark, d), ["person", "amount", "email", "c_mktsegment"]
+    tops = None
+    for c in columns:
+        own = profile.top_values(rows, c, 5).select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "count")
+        tops = own if tops is None else tops.union(own)
+    rules = spark.createDataFrame([(r.column, r.kind) for r in RULES], "column string, rule string")
+    return review.dictionary(profile.profile(rows, columns), tops, rules, privacy.detect(rows, columns))
