@@ -210,3 +210,22 @@ def test_chat(spark):
     long = spark.createDataFrame([(c, t, "user", str(t)) for c, n in ((1, 3000), (2, 2500)) for t in range(n)], "conv_id long, turn long, role string, text string")
     assert [(r["conv_id"], r["n_turns"]) for r in chat.chat_format(long).collect()] == [(1, 3000)]
     assert compare(spark, "/root/testdata/sf0.001", "op3_chat", chat.op3_chat, chat.OP3_SQL) == ""
+
+
+def test_chunk_encoder_equals_library():
+    from array import array
+    from random import Random
+
+    from tokenizers import Tokenizer
+
+    from sievelight.llm.common import ChunkEncoder, vocabulary
+
+    random = Random(3)
+    letters = list("abcÉéßÀ÷×ÿ'.,!?<|>*&́  \n\t019'sllKİ\x1c\x85ñ'tÐþ{}~^`@[]_-+=:;#$%/\\\"()")
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)]
+    texts += ["x<|endoftext|>y a'S b'S. don't! Isn't,,. l'LL.", "", "a" * 200, "Über-Maß!!! 1995."]
+    library, own = Tokenizer.from_file(vocabulary()), ChunkEncoder(vocabulary(), half=500)
+    for _ in range(2):
+        got = own.encode([t.encode() for t in texts])
+        assert got == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        assert len(own) <= 500 + 64 * 40
