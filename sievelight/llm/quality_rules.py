@@ -3,13 +3,15 @@
 For each language the corpus itself gives two reference distributions: over
 character classes and over common words. A text is compared to the language
 whose common words it fits best, by Jensen-Shannon distance; texts too short
-for a stable histogram are left to the base rules.
+for a stable histogram, and texts that name a language without a reference,
+are left to the base rules.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from sievelight.llm.textstats import CLASSES, COMMON, text_stats
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Largest Jensen-Shannon distances (base 2) from the language, and the words and characters under which each is not applied.
 CLASS_DISTANCE, WORD_DISTANCE, GUARD_WORDS, GUARD_CHARS = 0.19, 0.45, 50, 200
-#: A language needs this share of all words to serve as a reference.
-REFERENCE_SHARE = 0.001
+#: Texts of ``GUARD_WORDS`` words that a language needs to serve as a reference, whatever its share of the corpus.
+REFERENCE_TEXTS = 30
 
 _FIGURES = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "lang": pa.string(), "classes": pa.list_(pa.int32()), "common": pa.list_(pa.int32())}
 
@@ -43,6 +45,9 @@ def _figures(batches):
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (root of the divergence to base 2) of each row of ``p`` from each row of ``q``."""
+    step = max(1, (1 << 20) // max(q.size, 1))
+    if len(p) > step:
+        return np.concatenate([js_distance(p[i : i + step], q) for i in range(0, len(p), step)])
     p, q = p[:, None, :], q[None, :, :]
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -54,18 +59,16 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
-def references(figures: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages and their class and common-word distributions: the mean of their texts' distributions, over all rows with a language."""
+def references(figures: DataFrame, least: int = REFERENCE_TEXTS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages of ``least`` texts or more and their class and common-word distributions: the mean of their texts' distributions, over all rows with a language."""
     long = figures.filter(F.col("lang").isNotNull() & (F.col("n_words") >= GUARD_WORDS)).select(F.col("lang"), "n_words", F.posexplode(F.concat("classes", "common")).alias("k", "n"), F.aggregate("classes", F.lit(0), lambda a, x: a + x).alias("chars"))
     of = F.when(F.col("k") < len(CLASSES), F.greatest("chars", F.lit(1))).otherwise(F.col("n_words"))
     # every text adds whole millionths, so the sums don't depend on their order
-    rows = long.groupBy("lang", "k").agg(F.sum(F.round(1e6 * F.col("n") / of).cast("long")).alias("share"), F.sum("n_words").alias("words"))
+    rows = long.groupBy("lang", "k").agg(F.sum(F.round(1e6 * F.col("n") / of).cast("long")).alias("share"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
     by: dict[str, np.ndarray] = {}
-    size: dict[str, int] = {}
     for r in rows.collect():
         by.setdefault(r["lang"], np.zeros(len(CLASSES) + len(COMMON) + 1))[r["k"]] = r["share"]
-        size[r["lang"]] = r["words"]
-    langs = sorted(k for k in by if size[k] >= REFERENCE_SHARE * sum(size.values()))
+    langs = sorted(by)
     all_ = np.array([by[k] for k in langs]).reshape(len(langs), len(CLASSES) + len(COMMON) + 1)
     return langs, _shares(all_[:, : len(CLASSES)]), _shares(all_[:, len(CLASSES) :])
 
@@ -90,9 +93,13 @@ def _judged(langs: list[str], by_class: np.ndarray, by_word: np.ndarray):
                 char = js_distance(_shares(classes), by_class)[np.arange(len(n)), best]
             else:
                 word, char, best = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), int)
+            # a text is not held against other languages where its own has no reference
+            own = batch.column(6)
+            met = pc.or_(pc.is_null(own), pc.is_in(own, value_set=pa.array(langs, own.type))).to_numpy(zero_copy_only=False)
+            word, char = np.where(met, word, 0), np.where(met, char, 0)
             odd = ((word > WORD_DISTANCE) & (n >= GUARD_WORDS)) | ((char > CLASS_DISTANCE) & (classes.sum(axis=1) >= GUARD_CHARS))
             names = [x.split()[0] for x in VERDICT.split(", ")]
-            yield pa.RecordBatch.from_arrays([*figures, pa.array(failed), pa.array(~failed & ~odd), pa.array([langs[i] if langs else None for i in best], pa.string()), pa.array(char), pa.array(word)], names)
+            yield pa.RecordBatch.from_arrays([*figures, pa.array(failed), pa.array(~failed & ~odd), pa.array([langs[i] if langs and m else None for i, m in zip(best, met, strict=True)], pa.string()), pa.array(char), pa.array(word)], names)
 
     return run
 
@@ -118,15 +125,20 @@ def robust_references(figures: DataFrame) -> tuple[list[str], np.ndarray, np.nda
         return first
     far = figures.filter(F.col("n_words") >= GUARD_WORDS).mapInArrow(_judged(*first), VERDICT)
     cutoff = {r["language"]: r["most"] for r in far.groupBy("language").agg(F.percentile_approx("class_distance", 0.5, 10_000).alias("most")).collect()}
-    return references(figures.mapInArrow(_near(*first, cutoff), FIGURES))
+    langs, by_class, by_word = references(figures.mapInArrow(_near(*first, cutoff), FIGURES), 1)
+    # the languages are those of the first references: the half of a small one is not measured again
+    at = {k: i for i, k in enumerate(langs)}
+    again = [(by_class[at[k]], by_word[at[k]]) if k in at else (first[1][i], first[2][i]) for i, k in enumerate(first[0])]
+    return first[0], np.array([c for c, _ in again]), np.array([w for _, w in again])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base counts and verdict for every row of ``docs`` (doc_id, text, lang).
 
-    A null text has no words and fails the base rules; an unknown language
+    A null text has no words and fails the base rules; a null language
     doesn't matter, because a text is compared to the reference that it fits
-    best. Ids may be null or repeat; other columns are ignored. Where no text
+    best. A text that names a language with fewer than ``REFERENCE_TEXTS``
+    texts is left to the base rules, without a language or distances. Ids may be null or repeat; other columns are ignored. Where no text
     names its language there is no reference, and the base rules decide.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

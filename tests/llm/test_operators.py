@@ -179,6 +179,24 @@ def test_rules_counts(docs, rows):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+def test_rules_rare_language(spark):
+    """Neither a small share of the words nor a language without a reference makes a clean text fail."""
+    d = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1"), "doc_id").filter("lang IN ('de', 'en')").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in clean.collect() if len((r["text"] or "").split()) >= 50]
+    rare = [r for r in rows if r[2] == "de"][: quality_rules.REFERENCE_TEXTS]
+    assert len(rare) == quality_rules.REFERENCE_TEXTS
+    words = " ".join(t for _, t, k in rows if k == "en").split()
+    huge = " ".join(words * (1 + 1100 * sum(len(t.split()) for _, t, _ in rare) // len(words)))
+    alone = [(-2, rare[0][1], "pt"), (-3, rare[1][1], "pt")]
+    table = spark.createDataFrame([r for r in rows if r[2] == "en"] + rare + alone + [(-1, huge, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(table).collect()}
+    for i, _, lang in [*rare, *alone]:
+        assert got[i]["kept"] == (not got[i]["base_failed"]), (i, lang)
+    assert all(got[i]["language"] == "de" for i, _, _ in rare) and got[-2]["language"] is None
+    assert sum(got[i]["kept"] for i, _, _ in rare) > 0.9 * len(rare)
+
+
 def test_learnt_models(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
