@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: what stands between ASCII blanks (\x20 and \x09 to \x0D).
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -57,9 +57,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
+def spaced_words(text: Column) -> Column:
+    """The words of a text, each with the blanks after it."""
+    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

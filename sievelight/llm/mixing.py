@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import stored, table, word_count, words
+from sievelight.llm.common import BLANKS, spaced_words, stored, table, word_count
 
 #: Weights that sources take in turn, in order of their names.
 WEIGHTS = (3, 1, 2)
@@ -87,6 +87,10 @@ def _shard_quotas(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for every row of ``docs`` (doc_id, text, source), and the columns in ``carry``.
 
+    With ``carry`` each row also has ``copies``, how often it is taken whole by
+    passes over its shard's line, and ``runs``, the runs of its words (start,
+    stop) that the run of blocks takes: ``taken`` words in all.
+
     Sources are ordered by code point, null last, and take ``weights`` in
     turn. A null or blank text has size 0 and is not taken; a row whose id is
     null or repeats is a document like any other. Names of other columns don't
@@ -117,20 +121,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     first = F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "shard"), F.greatest("blocks", F.lit(1)))
     tail = F.greatest(first + rest - F.col("blocks"), F.lit(0))
 
+    ends = [(first, first + rest - tail), (F.lit(0), tail)]
+
     def shared(a, b):
         return F.greatest(F.least("end", b * block) - F.greatest("begin", a * block), F.lit(0))
 
-    taken = passes * F.col("size") + shared(first, first + rest - tail) + shared(F.lit(0), tail)
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"mix_carry.{c}").alias(f"carry_{c}") for c in carry])
+    taken = passes * F.col("size") + shared(*ends[0]) + shared(*ends[1])
+    runs = F.array(*[F.struct((F.greatest("begin", a * block) - F.col("begin")).cast("long").alias("start"), (F.least("end", b * block) - F.col("begin")).cast("long").alias("stop")) for a, b in ends])
+    parts = [passes.cast("int").alias("copies"), F.filter(runs, lambda r: r["start"] < r["stop"]).alias("runs")] if carry else []
+    return laid.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *parts, *[F.col(f"mix_carry.{c}").alias(f"carry_{c}") for c in carry])
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each whole copy, and one with the first words where a block ends within a document."""
+    """``docs`` as the mix takes them: a row for each whole copy, and one for each run of words that blocks take from within a document.
+
+    A run is cut from the text as it stands, from its first word to the end of its last.
+    """
     laid = mix(docs, carry=docs.columns, **settings).filter("taken > 0")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
-    # -1: the whole text
-    rows = laid.withColumn("words", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>")))))
-    text = F.when(F.col("words") < 0, F.col("carry_text")).otherwise(F.array_join(F.slice(words(F.col("carry_text")), 1, F.greatest("words", F.lit(1))), " "))
+    whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))
+    rows = laid.withColumn("run", F.explode(F.concat(F.array_repeat(whole, F.col("copies")), F.col("runs"))))
+    start, stop = F.col("run.start"), F.col("run.stop")
+    cut = F.array_join(F.slice(spaced_words(F.col("carry_text")), (start + 1).cast("int"), (stop - start).cast("int")), "")
+    text = F.when(stop - start == F.col("size"), F.col("carry_text")).otherwise(F.rtrim(cut, F.lit(BLANKS)))
     return rows.select(*[text.alias("text") if c == "text" else F.col(f"carry_{c}").alias(c) for c in docs.columns])
 
 

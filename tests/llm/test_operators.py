@@ -141,6 +141,35 @@ def test_mixing(docs, rows):
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2] and mixing.sainte_lague([0, 1], 3, [5, 2]) == [0, 2]
 
 
+def test_mixed_cuts_the_blocks(spark):
+    """Runs of blocks come out as they stand in the text, wherever in it they begin."""
+    gaps, n, block = (" ", "\n", " \t", "\r\n  "), 100, mixing.BLOCK
+    text = "  " + "".join(f"w{i}{gaps[i % 4]}" for i in range(n))
+    at = [text.index(f"w{i}{gaps[i % 4]}") for i in range(n)]
+    cut = lambda a, b: text[at[a] : at[b - 1] + len(f"w{b - 1}")]
+    one = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    blocks, seen = -(-n // block), set()
+    allowed = [{cut(f * block, min((f + 2) * block, n))} if f + 2 <= blocks else {cut(f * block, n), cut(0, block)} for f in range(blocks)]
+    for seed in range(8):
+        got = mixing.mixed(one, share=0.6, seed=seed).collect()
+        found = {r["text"] for r in got}
+        assert found in allowed and len(found) == len(got)
+        seen.add(allowed.index(found))
+    assert len(seen) > 1
+    twice = mixing.mixed(one, share=1.7, seed=1).collect()
+    assert text in [r["text"] for r in twice] and len(twice) > 1 and all(r["text"].strip() in text for r in twice)
+
+
+def test_mixed_words(docs):
+    got = Counter()
+    for r in mixing.mixed(docs).collect():
+        got[r["source"]] += len((r["text"] or "").encode().split())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] += r["taken"]
+    assert got == want
+
+
 def test_packing(docs, rows):
     e, got = chunk_encoder(vocabulary()), packing.pack(docs.filter("doc_id IS NOT NULL AND doc_id <> 5"), vocabulary(), partitions=3).collect()
     by, sequences = defaultdict(list), defaultdict(list)
