@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.common import batches as arrow_batches
 from sievelight.llm.common import held_out, table
 
-#: Longest n-gram, n-grams in a profile, training rows at most, and the fold that is never learnt from.
+#: Longest n-gram, n-grams in a profile, training rows of a language at most, and the fold that is never learnt from.
 LONGEST, RANKS, TRAINING, FOLDS, FOLD = 4, 400, 6_000, 4, 2
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -102,11 +102,14 @@ def _training_counts(batches):
 
 
 def learn(docs: DataFrame, most: int = TRAINING) -> Profiles:
-    """Profiles from at most ``most`` training rows (those with the smallest hash of their id), counted on the executors."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD))
-    # the ids are drawn first, so only they meet in one place; the rows are counted where they lie
-    drawn = rows.select(F.xxhash64("doc_id").alias("at"), F.col("doc_id").alias("drawn_id")).distinct().orderBy("at", "drawn_id").limit(most).select("drawn_id")
-    sample = rows.join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("drawn_id")), "left_semi").select("text", "lang")
+    """Profiles from at most ``most`` training rows of each language (those with the smallest hash of their id), counted on the executors."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select("text", "lang", F.xxhash64("doc_id").alias("at"))
+    ids = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("ids"))
+    # hashes are even, so about twice what is wanted lies below this bound, and only that meets in one place
+    low = rows.select("lang", "at").join(F.broadcast(ids), "lang").filter(F.col("at") / 2.0**64 + 0.5 < (2.0 * most + 100) / F.col("ids"))
+    placed = low.select("lang", "at").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
+    drawn = placed.filter(F.col("place") <= most).groupBy("lang").agg(F.max("at").alias("last"))
+    sample = rows.join(F.broadcast(drawn), "lang").filter(F.col("at") <= F.col("last")).select("text", "lang")
     counts = sample.mapInArrow(_training_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= RANKS)
     grams: dict[str, list[tuple[int, int]]] = {}

@@ -235,6 +235,14 @@ def test_learnt_models(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in lang]) > 0.98
 
 
+def test_rare_languages_are_learnt(spark):
+    texts = [(i, "the house and the garden of the king", "en") for i in range(600)] + [(1000 + i, "der hund und die katze sind im haus", "de") for i in range(8)] + [(None, "la maison est dans le jardin", "fr")]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert language_id.learn(table, 5).langs == ["de", "en", "fr"]
+    got = language_id.identify_language(table, 5).collect()
+    assert Counter(r["lang_pred"] for r in got) == {"en": 600, "de": 8, "fr": 1}
+
+
 def test_odd_rows_in_models(spark, docs, rows):
     labels = spark.createDataFrame([(7, 1, 0), (8, None, 0), (None, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality_model.score_quality(docs, labels).count() == len(rows)
