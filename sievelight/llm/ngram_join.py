@@ -12,7 +12,7 @@ Equal sets are one class from the start. Buckets of frequent tokens are dealt
 by row, not by token: each is first compared to one representative, and only
 rows that don't end in its component meet the rest of the bucket, so a large
 group of near copies costs about its size. All links between components are
-found; links inside one may be left out.
+found; links inside one may be left out. ``all_links`` gives those, too.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ NUM, DEN = 4, 5
 SLOTS, FREQUENT = 1 << 21, 64
 #: Rows of a bucket up to which all its pairs are formed at once.
 ALL_PAIRS = 32
+#: Rows of a bucket that meet all its rows in one task, where all links are asked for.
+DEALT = 1024
 #: Multipliers of the orders beside the first.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -316,17 +318,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> Da
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and text_key (the text's hash) for every row of ``docs`` (doc_id, text).
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
 
-    Null, empty and blank texts have no shingles and are linked with nothing.
-    ``component_id`` is the smallest id among the rows reachable by links
-    (ids may repeat; rows without id never give the name, unless all of a
-    component lack one). Other columns are ignored; an empty table gives no
-    rows.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+def _candidates(rows: DataFrame):
+    """The surveyed rows, the frequency classes of tokens, the classes of equal sets, and the buckets of the first order."""
+    spark = rows.sparkSession
     survey = stored(rows.mapInArrow(trimmed(_surveyed), "doc_id long, text_key long, n_shingles long, cls binary, profile binary, sketch binary"), "survey", compression="zstd")
     members = survey.filter("sketch IS NULL").drop("sketch")
     shared = spark.sparkContext.broadcast(token_classes(survey.filter("sketch IS NOT NULL").select("sketch")).tobytes())
@@ -338,6 +336,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = stored(emitted.mapInArrow(trimmed(_bucketed), BUCKETED), "buckets", compression="zstd")
     del emitted
     released(spark)
+    return members, shared, classes, buckets
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and text_key (the text's hash) for every row of ``docs`` (doc_id, text).
+
+    Null, empty and blank texts have no shingles and are linked with nothing.
+    ``component_id`` is the smallest id among the rows reachable by links
+    (ids may repeat; rows without id never give the name, unless all of a
+    component lack one). Other columns are ignored; an empty table gives no
+    rows.
+    """
+    rows = _keyed(docs)
+    members, shared, classes, buckets = _candidates(rows)
     large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
     heads = large.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("head"))
     star = large.join(heads, "token").filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
@@ -362,6 +374,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named_rows.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
 
 
+def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All verified pairs (a, b) of classes, each once, and doc_id, text_key, n_shingles, cls and n_links for every row of ``docs``.
+
+    Rows of one class have equal sets and are linked with each other and with
+    all rows of the classes that theirs is paired with; ``n_links`` counts
+    them, without the row itself. Nothing is left out inside a component, so
+    the work grows with the square of a group of near copies, as the pairs do;
+    a bucket's pairs are dealt over tasks by ``DEALT`` of its rows.
+    """
+    rows = _keyed(docs)
+    members, shared, classes, buckets = _candidates(rows)
+    large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
+    each = large.join(large.groupBy("token").agg(F.ceil(F.count("*") / DEALT).alias("parts")), "token")
+    left = each.select("token", F.pmod(F.xxhash64("cls"), "parts").alias("part"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = each.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cls").alias("b"), "n", "pos")
+    met = left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & _met(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
+    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(met.select("a", "b"))), classes)
+    links = _verify(pairs, rows, classes, shared)
+    copies = members.filter("cls IS NOT NULL").groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("copies"))
+    ends = links.select(F.col("a").alias("at"), F.col("b").alias("key")).union(links.select("b", "a"))
+    linked = ends.join(copies, "key").groupBy(F.col("at").alias("key")).agg(F.sum("copies").alias("others"))
+    own = copies.join(linked, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    counted = members.join(own, F.col("cls") == F.col("key"), "left")
+    return links, counted.select("doc_id", "text_key", "n_shingles", "cls", F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component; repeated rows count once.
 

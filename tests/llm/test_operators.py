@@ -96,6 +96,21 @@ def test_near_duplicates(docs, rows, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()) == want
 
 
+def test_all_links(docs, rows, monkeypatch):
+    for name, value in (("FREQUENT", 8), ("ALL_PAIRS", 4), ("DEALT", 7)):
+        monkeypatch.setattr(ngram_join, name, value)
+    sets = [(d, set(ngram_join.shingles((t or "").encode()).tolist())) for d, t in rows]
+    want, pairs = Counter(), set()
+    for i, (d, a) in enumerate(sets):
+        near = [j for j, (_, b) in enumerate(sets) if j != i and a and b and 5 * len(a & b) >= 4 * len(a | b)]
+        want[d, len(a), len(near)] += 1
+        pairs |= {frozenset((frozenset(a), frozenset(sets[j][1]))) for j in near if sets[j][1] != a}
+    links, counts = ngram_join.all_links(docs)
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in counts.collect()) == want
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in links.collect()]
+    assert len(got) == len(pairs) == len({frozenset(x) for x in got}) > 100
+
+
 @pytest.mark.parametrize("per_range", [40_000, 60])
 def test_repeats(docs, rows, monkeypatch, per_range):
     monkeypatch.setattr(suffix_dedup, "RANGE", per_range)
