@@ -269,19 +269,43 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+
+
 # ---------------------------------------------------------------- verification
 
 
-def similar(x: np.ndarray, y: np.ndarray, classes: np.ndarray) -> bool:
-    """Whether two sets meet the threshold: the other orders' prefixes first, then the sets."""
-    for order in range(1, len(ORDERS) + 1):
-        p, q = ordered(x, classes, order)[0][: probe_length(len(x))], ordered(y, classes, order)[0][: probe_length(len(y))]
-        if not len(np.intersect1d(p, q, assume_unique=True)):
-            return False
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets meet the threshold."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
+def probes(tokens: np.ndarray, classes: np.ndarray) -> list[bytes]:
+    """The upper halves of a set's prefix tokens under each order beside the first, sorted."""
+    return [np.unique((ordered(tokens, classes, k)[0][: probe_length(len(tokens))] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(1, len(ORDERS) + 1)]
+
+
+def _probed(shared):
+    def run(batches):
+        classes = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = [probes(shingles(t), classes) for t in utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], ["cls", "text", "probes"])
+
+    return run
+
+
+def _intersecting(batches):
+    """Pairs whose prefixes meet under every order; equal halves of different tokens only let more pass."""
+    for batch in batches:
+        good = [all(len(np.intersect1d(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), assume_unique=True)) for p, q in zip(x, y, strict=True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _bounded(batches):
     for batch in batches:
         good = [may_meet(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -290,30 +314,37 @@ def _bounded(batches):
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose profiles leave room for enough overlap: a bound, so no link is lost."""
-    sides = [classes.select(F.col("cls").alias(k), F.col("profile").alias(f"p{k}")) for k in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "pa", "pb")
-    return stored(both.mapInArrow(trimmed(_bounded), "a binary, b binary"), "pairs")
+    return stored(_ended(pairs, classes, "profile").mapInArrow(trimmed(_bounded), "a binary, b binary"), "pairs")
 
 
-def _verified(shared):
-    def run(batches):
-        classes = np.frombuffer(shared.value, np.uint8)
-        of = lru_cache(maxsize=256)(shingles)
-        for batch in batches:
-            good = [similar(of(x), of(y), classes) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _verified(batches):
+    of = lru_cache(maxsize=256)(shingles)
+    for batch in batches:
+        good = [similar(of(x), of(y)) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+
+def _ended(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with ``column`` of both classes, as xa and xb."""
+    sides = [classes.select(F.col("cls").alias(k), F.col(column).alias(f"x{k}")) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "xa", "xb")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> DataFrame:
-    """The pairs of classes that are similar. One text of each class in pairs travels; it packs better than its set."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    """The pairs of classes that are similar.
+
+    One text of each class in pairs is fetched; it packs better than its set.
+    Only where the prefixes under the other orders meet do both texts of a
+    pair travel to each other.
+    """
+    wanted = _members(pairs)
     reps = classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
     found = docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
-    texts = stored(found, "texts", compression="zstd").dropDuplicates(["cls"])
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(_verified(shared)), "a binary, b binary"), "links")
+    texts = stored(found.mapInArrow(trimmed(_probed(shared)), "cls binary, text string, probes array<binary>"), "texts", compression="zstd")
+    met = _ended(pairs, texts.select("cls", "probes").dropDuplicates(["cls"]), "probes").mapInArrow(trimmed(_intersecting), "a binary, b binary")
+    met = stored(met, "met")
+    sent = texts.select("cls", "text").join(_members(met), "cls", "left_semi").dropDuplicates(["cls"])
+    links = stored(_ended(met, sent, "text").mapInArrow(trimmed(_verified), "a binary, b binary"), "links")
     released(docs.sparkSession)
     return links
 

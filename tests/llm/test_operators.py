@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_files
@@ -111,6 +112,26 @@ def test_all_links(docs, rows, monkeypatch):
     assert len(got) == len(pairs) == len({frozenset(x) for x in got}) > 100
 
 
+def test_other_orders_before_texts():
+    """Similar sets pass the other orders' prefixes; sets whose prefixes part under one order go before their texts are met."""
+    rng, classes = np.random.default_rng(5), np.zeros(ngram_join.SLOTS, np.uint8)
+    some = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    pairs = []
+    for share in (0, 0.1, 0.5, 0.8, 0.9, 1):
+        for _ in range(40):
+            n = int(rng.integers(1, 200))
+            both = some(round(share * n))
+            pairs.append([np.unique(np.concatenate([both, some(n - len(both))])) for _ in "ab"])
+    sent = [[ngram_join.probes(x, classes) for x in p] for p in pairs]
+    kinds = {"a": pa.int64(), "b": pa.int64(), "xa": pa.list_(pa.binary()), "xb": pa.list_(pa.binary())}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([range(len(pairs)), range(len(pairs)), *zip(*sent, strict=True)], kinds.values(), strict=True)], list(kinds))
+    left = {i for out in ngram_join._intersecting([batch]) for i in out.column(0).to_pylist()}
+    assert {i for i, p in enumerate(pairs) if ngram_join.similar(*p)} <= left and not left & set(range(40))
+    for i, (x, y) in enumerate(pairs):
+        heads = [[set(ngram_join.ordered(z, classes, k)[0][: ngram_join.probe_length(len(z))].tolist()) for z in (x, y)] for k in (1, 2)]
+        assert (i in left) == all(a & b for a, b in heads)
+
+
 @pytest.mark.parametrize("per_range", [40_000, 60])
 def test_repeats(docs, rows, monkeypatch, per_range):
     monkeypatch.setattr(suffix_dedup, "RANGE", per_range)
