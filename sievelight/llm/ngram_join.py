@@ -3,16 +3,20 @@
 Prefix filtering over several global token orders. Every order puts frequent
 tokens (by a count sketch of all documents) last and breaks ties by another
 hash. Under each order two sets with Jaccard similarity of at least 0.8 share
-a token of their prefixes. The first order's prefixes, with the size and
-positional filters, give candidates; a candidate is dropped unless the
-profiles of its sets leave room for enough overlap and the other orders'
-prefixes meet too, and what is left is verified exactly.
-
-Equal sets are one class from the start. Buckets of frequent tokens are dealt
-by row, not by token: each is first compared to one representative, and only
-rows that don't end in its component meet the rest of the bucket, so a large
-group of near copies costs about its size. All links between components are
-found; links inside one may be left out. ``all_links`` gives those, too.
+a token of their prefixes. The first order's prefixes deal the sets to
+buckets, with the size and positional filters; every set brings the prefixes
+of the other orders along, and a pair is a candidate only if these meet too
+and the sets' profiles leave room for enough overlap. Texts are fetched for
+candidates alone, which are then verified exactly.
+
+Equal sets are one class from the start. In a large bucket every row is first
+compared to one representative. What then still lies in different components
+is compared by component: Jaccard distance is a metric, so two components
+whose roots are farther apart than the threshold and both radii together hold
+no link, and of the others only rows that the same bound admits are paired. A
+large group of near copies so costs about its size, and so do many groups
+that share boilerplate. All links between components are found; links inside
+one may be left out. ``all_links`` gives those, too.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from sievelight.llm.components import components
 SHINGLE = 5
 #: Similarity of 4/5, as integers: 5 * intersection >= 4 * union.
 NUM, DEN = 4, 5
-#: Counters of the sketch (a fixed size), and the count from which a token is frequent: this or four times the mean.
-SLOTS, FREQUENT = 1 << 21, 64
+#: Counters of the sketch, at least and at most (between, one for 256 characters), and the excess over the usual count from which a token is frequent, at least.
+SLOTS, FREQUENT = (1 << 18, 1 << 24), 64
 #: Rows of a bucket up to which all its pairs are formed at once.
 ALL_PAIRS = 32
-#: Rows of a bucket that meet all its rows in one task, where all links are asked for.
-DEALT = 1024
+#: Rows of a bucket (or components in it) that meet all others in one task, and tasks that share the rows of a bucket's star.
+DEALT, SALTS = 1024, 16
 #: Multipliers of the orders beside the first.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -98,76 +102,104 @@ def index_length(n):
 # ---------------------------------------------------------------- first pass: classes and sketch
 
 
-def _surveyed(batches):
-    seen: set[bytes] = set()
-    counts = np.zeros(SLOTS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("profile", pa.binary()), ("sketch", pa.binary())])
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            part = batch.slice(i, 2048)
-            sizes, keys, profiles = [], [], []
-            for t in utf8(part.column(1)):
-                tokens = shingles(t)
-                key = class_key(tokens)
-                sizes.append(len(tokens))
-                keys.append(key)
-                profiles.append(profile(tokens))
-                if key is not None and key not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                    np.add.at(counts, (tokens & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(profiles, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema)
-    if counts.any():
-        data = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([data], pa.binary())], schema=schema)
+def slots_for(rows: DataFrame) -> int:
+    """Counters of the sketch for a corpus: they follow its size up to a bound, beyond which only the noise of the counts grows."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max(SLOTS[0], 1 << (int(chars) // 256).bit_length()), SLOTS[1])
 
 
-def _added(batches):
-    total = None
-    for batch in batches:
-        for data in batch.column(0).to_pylist():
-            counts = np.frombuffer(zlib.decompress(data), "<u2").astype(np.uint64)
-            total = counts if total is None else total + counts
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)], pa.binary())], ["sketch"])
+def _surveyed(slots: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary())])
+
+    def run(batches):
+        seen: set[bytes] = set()
+        counts = np.zeros(slots, np.uint32)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                sizes, keys = [], []
+                for t in utf8(part.column(1)):
+                    tokens = shingles(t)
+                    key = class_key(tokens)
+                    sizes.append(len(tokens))
+                    keys.append(key)
+                    if key is not None and key not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(key)
+                        np.add.at(counts, (tokens & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema)
+        if counts.any():
+            data = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([data], pa.binary())], schema=schema)
+
+    return run
+
+
+def _added(slots: int, width: str, last: bool):
+    """Adds sketches of ``width`` bytes a counter; the last step gives the frequency classes instead."""
+
+    def run(batches):
+        total = np.zeros(slots, np.uint64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(data), width)
+        out = frequency_classes(total) if last else np.minimum(total, 0xFFFFFFFF).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["sketch"])
+
+    return run
 
 
-def token_classes(sketches: DataFrame) -> np.ndarray:
-    """For each slot of the sketch 0, or how many times its tokens are more frequent than usual, as a binary order of magnitude.
+def frequency_classes(total: np.ndarray) -> np.ndarray:
+    """For each counter 0, or the binary order of magnitude by which it exceeds what other tokens in a slot bring.
 
-    The tasks' sketches (one row a task) are added on executors, sixteen
-    tasks' worth at most to each; their sums, of fixed size, meet on the driver.
+    Beyond the slots' median and six robust deviations a count is the token's
+    own, however full the sketch is.
     """
-    width = max(1, min(16, sketches.sparkSession.sparkContext.defaultParallelism))
-    total = np.zeros(SLOTS, np.uint64)
-    for r in sketches.repartition(width).mapInArrow(_added, "sketch binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(r["sketch"]), "<u4")
-    usual = max(FREQUENT, 4 * int(total.mean()))
-    out = np.zeros(SLOTS, np.uint8)
+    middle = np.median(total)
+    excess = total - middle
+    usual = max(FREQUENT, 6 * 1.4826 * float(np.median(np.abs(excess))))
+    out = np.zeros(len(total), np.uint8)
     for k in range(40):
-        out[total > usual * (1 << k)] = k + 1
+        out[excess > usual * (1 << k)] = k + 1
     return out
 
 
+def token_classes(sketches: DataFrame, slots: int) -> np.ndarray:
+    """The frequency class of each slot. The tasks' sketches are added on executors, in two steps; one byte a slot reaches the driver."""
+    width = max(1, min(16, sketches.sparkSession.sparkContext.defaultParallelism))
+    sums = sketches.repartition(width).mapInArrow(trimmed(_added(slots, "<u2", False)), "sketch binary")
+    found = sums.repartition(1).mapInArrow(trimmed(_added(slots, "<u4", True)), "sketch binary").first()
+    return np.frombuffer(zlib.decompress(found["sketch"]), np.uint8) if found else np.zeros(slots, np.uint8)
+
+
 def ordered(tokens: np.ndarray, classes: np.ndarray, order: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in a global order, and their frequency classes."""
-    rank = classes[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
+    rank = classes[(tokens & np.uint64(len(classes) - 1)).astype(np.int64)]
     by = tokens if order == 0 else _mixed(tokens * np.uint64(ORDERS[order - 1]))
-    at = np.lexsort((by, rank))
+    # ties keep the order of the tokens themselves, which is the same in every set
+    at = np.argsort((rank.astype(np.uint64) << np.uint64(58)) | (by >> np.uint64(6)), kind="stable")
     return tokens[at], rank[at]
 
 
-# ---------------------------------------------------------------- second pass: prefixes of the first order
+def probes(tokens: np.ndarray, classes: np.ndarray) -> list[bytes]:
+    """The upper halves of a set's prefix tokens under each order beside the first, sorted."""
+    return [np.unique((ordered(tokens, classes, k)[0][: probe_length(len(tokens))] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(1, len(ORDERS) + 1)]
+
+
+# ---------------------------------------------------------------- second pass: prefixes of every order
 
-EMITTED = "spread long, token long, cls binary, n int, pos int, frequent boolean"
+EMITTED = "spread long, token long, cls binary, n int, pos int, frequent boolean, mark array<binary>"
+_EMITTED = ["spread", "token", "cls", "n", "pos", "frequent", "mark"]
 
 
 def _prefixes(shared):
+    """A row for each token of the first order's prefix, and one row a set with its mark: the profile and the other orders' prefixes."""
+
     def run(batches):
         classes, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                tokens_, keys, counts, positions, ranks = [], [], [], [], []
+                tokens_, keys, counts, positions, ranks, marks = [], [], [], [], [], []
                 for t in utf8(batch.column(0).slice(i, 512)):
                     own = shingles(t)
                     key = class_key(own)
@@ -182,17 +214,22 @@ def _prefixes(shared):
                     keys += [key] * p
                     counts.append(np.full(p, n, np.int32))
                     positions.append(np.arange(p, dtype=np.int32))
+                    marks.append((key, [profile(own), *probes(own, classes)]))
                 if not keys:
                     continue
                 token, frequent = np.concatenate(tokens_), np.concatenate(ranks) > 0
                 salt = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
                 spread = np.where(frequent, _mixed(token ^ salt), token)
-                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(token.view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(positions)), pa.array(frequent)], ["spread", "token", "cls", "n", "pos", "frequent"])
+                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(token.view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(positions)), pa.array(frequent), pa.nulls(len(keys), pa.list_(pa.binary()))], _EMITTED)
+                own_keys = [k for k, _ in marks]
+                none = pa.nulls(len(marks), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(k[:8] for k in own_keys), "<i8")), pa.nulls(len(marks), pa.int64()), pa.array(own_keys, pa.binary()), none, none, pa.array([True] * len(marks)), pa.array([m for _, m in marks], pa.list_(pa.binary()))], _EMITTED)
 
     return run
 
 
-BUCKETED = "a binary, b binary, token long, n int, pos int"
+BUCKETED = "a binary, b binary, token long, n int, pos int, mark array<binary>"
+_BUCKETED = ["a", "b", "token", "n", "pos", "mark"]
 
 
 def _passes(na, pa_, nb, pb):
@@ -201,37 +238,55 @@ def _passes(na, pa_, nb, pb):
     return (DEN * na >= NUM * nb) & (pa_ < index_length(na)) & (1 + np.minimum(na - pa_, nb - pb) - 1 >= least)
 
 
+def _as_they_are(rows: pa.Table):
+    cls = rows.column("cls").combine_chunks()
+    yield from pa.table([cls, pa.nulls(len(cls), pa.binary()), *(rows.column(c) for c in ("token", "n", "pos", "mark"))], names=_BUCKETED).to_batches(1 << 14)
+
+
 def _bucketed(batches):
-    """Rows sorted by (spread, token, cls): pairs of small buckets, and the rows of larger and of frequent ones as they are."""
-    carry = None
+    """Rows sorted by (spread, token, cls): pairs of small buckets, and the rows of larger and of frequent ones, and marks, as they are.
+
+    Of a bucket that goes on in the next batch at most ``ALL_PAIRS`` rows are
+    held; a larger one is passed on row by row.
+    """
+    held, opened = None, None
     for batch in batches:
-        whole = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
-        token = whole.column("token").to_numpy()
-        if not len(token):
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if opened is not None:
+            of = rows.column("token").to_numpy() == opened
+            of &= ~rows.column("frequent").to_numpy()
+            more = len(of) if of.all() else int(np.flatnonzero(~of)[0])
+            yield from _as_they_are(rows.slice(0, more))
+            rows, opened = rows.slice(more), opened if more == len(of) else None
+        held = None
+        if not rows.num_rows:
             continue
-        # the last bucket may go on in the next batch, unless its rows pass as they are
-        last = whole.num_rows - 1
-        cut = whole.num_rows if whole.column("frequent")[last].as_py() else int(np.flatnonzero(token != token[-1])[-1]) + 1 if (token != token[-1]).any() else 0
-        carry = whole.slice(cut)
-        yield from _buckets(whole.slice(0, cut))
-    if carry is not None:
-        yield from _buckets(carry)
+        if not rows.column("frequent")[rows.num_rows - 1].as_py():
+            token = rows.column("token").fill_null(0).to_numpy()
+            other = np.flatnonzero(token != token[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            held, rows = rows.slice(cut), rows.slice(0, cut)
+        yield from _buckets(rows)
+        if held is not None and held.num_rows > ALL_PAIRS:
+            opened = held.column("token")[0].as_py()
+            yield from _as_they_are(held)
+            held = None
+    if held is not None:
+        yield from _buckets(held)
 
 
 def _buckets(rows: pa.Table):
     if not rows.num_rows:
         return
-    token, n, pos = (rows.column(c).to_numpy() for c in ("token", "n", "pos"))
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    frequent = rows.column("frequent").to_numpy(zero_copy_only=False)
+    token, n, pos = (rows.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("token", "n", "pos"))
+    frequent = rows.column("frequent").to_numpy()
     start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | frequent[1:] | frequent[:-1])))
     size = np.diff(np.append(start, len(token)))
     members = np.repeat(size, size)
     large = frequent | (members > ALL_PAIRS)
-    cls = rows.column("cls").combine_chunks()
     if large.any():
-        at = pa.array(np.flatnonzero(large))
-        yield from pa.table([cls.take(at), pa.nulls(len(at), pa.binary()), pa.array(token[large]), pa.array(n[large].astype(np.int32)), pa.array(pos[large].astype(np.int32))], names=["a", "b", "token", "n", "pos"]).to_batches(1 << 14)
+        yield from _as_they_are(rows.filter(pa.array(large)))
     few = np.flatnonzero((members > 1) & ~large)
     token, n, pos = token[few], n[few], pos[few]
     firsts, seconds = [], []
@@ -242,15 +297,14 @@ def _buckets(rows: pa.Table):
         j = i + d
         swap = n[i] > n[j]
         x, y = np.where(swap, j, i), np.where(swap, i, j)
-        ok = _passes(n[x], pos[x], n[y], pos[y])
-        tie = (n[x] == n[y]) & _passes(n[y], pos[y], n[x], pos[x])
-        keep = ok | tie
+        keep = _passes(n[x], pos[x], n[y], pos[y]) | (n[x] == n[y]) & _passes(n[y], pos[y], n[x], pos[x])
         firsts.append(few[x[keep]])
         seconds.append(few[y[keep]])
     if firsts and sum(map(len, firsts)):
+        cls = rows.column("cls").combine_chunks()
         a, b = cls.take(pa.array(np.concatenate(firsts))), cls.take(pa.array(np.concatenate(seconds)))
         none = pa.nulls(len(a), pa.int32())
-        yield from pa.table([a, b, pa.nulls(len(a), pa.int64()), none, none], names=["a", "b", "token", "n", "pos"]).to_batches(1 << 14)
+        yield from pa.table([a, b, pa.nulls(len(a), pa.int64()), none, none, pa.nulls(len(a), pa.list_(pa.binary()))], names=_BUCKETED).to_batches(1 << 14)
 
 
 def _met(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -276,77 +330,73 @@ def _members(pairs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets meet the threshold."""
+def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and of the union."""
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return DEN * both >= NUM * (len(x) + len(y) - both)
+    return both, len(x) + len(y) - both
 
 
-def probes(tokens: np.ndarray, classes: np.ndarray) -> list[bytes]:
-    """The upper halves of a set's prefix tokens under each order beside the first, sorted."""
-    return [np.unique((ordered(tokens, classes, k)[0][: probe_length(len(tokens))] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(1, len(ORDERS) + 1)]
-
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets meet the threshold."""
+    both, either = overlap(x, y)
+    return DEN * both >= NUM * either
 
-def _probed(shared):
-    def run(batches):
-        classes = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                found = [probes(shingles(t), classes) for t in utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], ["cls", "text", "probes"])
 
-    return run
+def may_link(x: list[bytes], y: list[bytes]) -> bool:
+    """Whether two marks allow a link: room in the profiles, and prefixes that meet under every order (equal halves of different tokens only let more pass)."""
+    return may_meet(x[0], y[0]) and all(len(np.intersect1d(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), assume_unique=True)) for p, q in zip(x[1:], y[1:], strict=True))
 
 
 def _intersecting(batches):
-    """Pairs whose prefixes meet under every order; equal halves of different tokens only let more pass."""
     for batch in batches:
-        good = [all(len(np.intersect1d(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), assume_unique=True)) for p, q in zip(x, y, strict=True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        good = [may_link(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _bounded(batches):
+def _apart(batches):
+    """Pairs with what their profiles say of their distance, at least."""
     for batch in batches:
-        good = [may_meet(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
+        least = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = (np.frombuffer(m[0], np.uint8) for m in (x, y))
+            most = int(np.minimum(a, b).sum(dtype=np.int64)) if len(a) and len(b) else 0
+            total = int(a.sum(dtype=np.int64) + b.sum(dtype=np.int64))
+            least.append(1 - most / (total - most) if len(a) and len(b) else 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.float64())], ["a", "b", "least"])
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose profiles leave room for enough overlap: a bound, so no link is lost."""
-    return stored(_ended(pairs, classes, "profile").mapInArrow(trimmed(_bounded), "a binary, b binary"), "pairs")
 
-
-def _verified(batches):
+def _compared(batches):
     of = lru_cache(maxsize=256)(shingles)
     for batch in batches:
-        good = [similar(of(x), of(y)) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        found = [overlap(of(x), of(y)) for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)]
+        linked, far = [DEN * i >= NUM * u for i, u in found], [1 - i / max(u, 1) for i, u in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "linked", "far"])
 
 
-def _ended(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
-    """``pairs`` with ``column`` of both classes, as xa and xb."""
-    sides = [classes.select(F.col("cls").alias(k), F.col(column).alias(f"x{k}")) for k in "ab"]
+def _ended(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with ``column`` of both classes, as xa and xb; only rows of classes in pairs travel."""
+    own = of.join(_members(pairs), "cls", "left_semi").select("cls", column).dropDuplicates(["cls"])
+    sides = [own.select(F.col("cls").alias(k), F.col(column).alias(f"x{k}")) for k in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "xa", "xb")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> DataFrame:
-    """The pairs of classes that are similar.
+def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose marks allow a link: no link is lost, and no text has been read."""
+    return stored(_ended(pairs, marks, "mark").mapInArrow(trimmed(_intersecting), "a binary, b binary"), "pairs")
 
-    One text of each class in pairs is fetched; it packs better than its set.
-    Only where the prefixes under the other orders meet do both texts of a
-    pair travel to each other.
-    """
-    wanted = _members(pairs)
-    reps = classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
-    found = docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
-    texts = stored(found.mapInArrow(trimmed(_probed(shared)), "cls binary, text string, probes array<binary>"), "texts", compression="zstd")
-    met = _ended(pairs, texts.select("cls", "probes").dropDuplicates(["cls"]), "probes").mapInArrow(trimmed(_intersecting), "a binary, b binary")
-    met = stored(met, "met")
-    sent = texts.select("cls", "text").join(_members(met), "cls", "left_semi").dropDuplicates(["cls"])
-    links = stored(_ended(met, sent, "text").mapInArrow(trimmed(_verified), "a binary, b binary"), "links")
+
+def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, whether they are linked and their distance, from the texts of the pairs' classes."""
+    reps = classes.join(_members(pairs), "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
+    texts = stored(docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text"), "texts", compression="zstd")
+    found = stored(_ended(pairs, texts, "text").mapInArrow(trimmed(_compared), "a binary, b binary, linked boolean, far double"), "links")
     released(docs.sparkSession)
-    return links
+    return found
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of classes that are similar."""
+    return _measured(pairs, docs, classes).filter("linked").select("a", "b")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -354,20 +404,82 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame):
-    """The surveyed rows, the frequency classes of tokens, the classes of equal sets, and the buckets of the first order."""
+    """The surveyed rows, the classes of equal sets, their marks, and the buckets of the first order."""
     spark = rows.sparkSession
-    survey = stored(rows.mapInArrow(trimmed(_surveyed), "doc_id long, text_key long, n_shingles long, cls binary, profile binary, sketch binary"), "survey", compression="zstd")
+    slots = slots_for(rows)
+    survey = stored(rows.mapInArrow(trimmed(_surveyed(slots)), "doc_id long, text_key long, n_shingles long, cls binary, sketch binary"), "survey", compression="zstd")
     members = survey.filter("sketch IS NULL").drop("sketch")
-    shared = spark.sparkContext.broadcast(token_classes(survey.filter("sketch IS NOT NULL").select("sketch")).tobytes())
-    classes = stored(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"), F.min("profile").alias("profile")), "classes", compression="zstd")
+    shared = spark.sparkContext.broadcast(token_classes(survey.filter("sketch IS NOT NULL").select("sketch"), slots).tobytes())
+    classes = stored(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least")), "classes", compression="zstd")
 
     emitted = rows.select("text").mapInArrow(trimmed(_prefixes(shared)), EMITTED).repartition("spread").sortWithinPartitions("spread", "token", "cls")
     # copies in different tasks send the same rows
-    emitted = emitted.select("token", "cls", "n", "pos", "frequent")
-    buckets = stored(emitted.mapInArrow(trimmed(_bucketed), BUCKETED), "buckets", compression="zstd")
+    buckets = stored(emitted.select(*_EMITTED[1:]).mapInArrow(trimmed(_bucketed), BUCKETED), "buckets", compression="zstd")
     del emitted
     released(spark)
-    return members, shared, classes, buckets
+    marks = buckets.filter("mark IS NOT NULL").select(F.col("a").alias("cls"), "mark")
+    return members, classes, marks, buckets.filter("mark IS NULL").drop("mark")
+
+
+def _large(buckets: DataFrame) -> DataFrame:
+    return buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
+
+
+def _dealt(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``rows`` (token, cls, ...) joined to the one row of ``tokens`` for their token, a token's rows in ``SALTS`` parts."""
+    each = tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(each, ["token", "part"]).drop("part")
+
+
+def _blockwise(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a self-join on (token, part) in which every row meets all of its token, dealt by ``DEALT`` rows."""
+    each = _dealt(rows, rows.groupBy("token").agg(F.ceil(F.count("*") / DEALT).alias("parts"))) if item == "cls" else rows.join(rows.groupBy("token").agg(F.ceil(F.count("*") / DEALT).alias("parts")), "token")
+    return each.withColumn("part", F.pmod(F.xxhash64(item), "parts")), each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+
+def _between(large: DataFrame, roots: DataFrame, tried: DataFrame, rows: DataFrame, classes: DataFrame, marks: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between the components that large buckets still hold, by the triangle inequality of Jaccard distance."""
+    edge, slack = 1 - NUM / DEN, 1e-9
+    placed = large.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
+    torn = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+    placed = stored(_dealt(placed, torn), "placed", compression="zstd")
+
+    groups = placed.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = _blockwise(groups, "root")
+    left, right = left.select("token", "part", F.col("root").alias("a"), "lo", "hi"), right.select("token", "part", F.col("root").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    sizes = (DEN * F.col("hi") >= NUM * F.col("lo2")) & (DEN * F.col("hi2") >= NUM * F.col("lo"))
+    tops = stored(left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct(), "tops")
+    if tops.isEmpty():
+        return links
+
+    # how far each row of these components lies from its root
+    inner = placed.join(_members(tops).withColumnRenamed("cls", "root"), "root", "left_semi").filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
+    rays = _measured(inner, rows, classes).select(F.col("a").alias("cls"), F.col("b").alias("root"), "far")
+    radius = rays.groupBy(F.col("root").alias("of")).agg(F.max("far").alias("radius"))
+
+    def reaching(pairs, distance):
+        for k in "ab":
+            pairs = pairs.join(radius.select(F.col("of").alias(k), F.col("radius").alias(f"r{k}")), k, "left").fillna(0.0, [f"r{k}"])
+        return pairs.filter(F.col(distance) <= edge + F.col("ra") + F.col("rb") + slack).drop("ra", "rb")
+
+    near = stored(reaching(_ended(tops, marks, "mark").mapInArrow(trimmed(_apart), "a binary, b binary, least double"), "least").select("a", "b"), "near")
+    known = _measured(near, rows, classes)
+    links = links.union(known.filter("linked").select("a", "b"))
+    again = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    open_ = reaching(known.filter("NOT linked"), "far").select("a", "b", F.col("far").alias("gap"))
+    for k in "ab":
+        open_ = open_.join(again.select(F.col("node").alias(k), F.col("root").alias(f"now_{k}")), k, "left").withColumn(f"now_{k}", F.coalesce(f"now_{k}", k))
+    open_ = stored(open_.filter("now_a <> now_b").select("a", "b", "gap"), "open")
+    if open_.isEmpty():
+        return links
+
+    own = placed.join(rays, ["cls", "root"], "left").fillna(0.0, ["far"])
+    x = own.select("token", F.col("root").alias("a"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("far").alias("fx"))
+    y = own.select("token", F.col("root").alias("b"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("far").alias("fy"))
+    met = open_.join(x, "a").filter(F.col("fx") + F.col("gap") <= 2 + slack).join(y, ["token", "b"])
+    met = met.filter((F.col("gap") <= edge + F.col("fx") + F.col("fy") + slack) & _met(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
+    pairs = _plausible(_pairs(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(tried, ["a", "b"], "left_anti"), marks)
+    return links.union(_verify(pairs, rows, classes))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -377,26 +489,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest id among the rows reachable by links
     (ids may repeat; rows without id never give the name, unless all of a
     component lack one). Other columns are ignored; an empty table gives no
-    rows.
+    rows. A text is held whole, with eight bytes for each of its words; there
+    is no limit to its length.
     """
     rows = _keyed(docs)
-    members, shared, classes, buckets = _candidates(rows)
-    large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
+    members, classes, marks, buckets = _candidates(rows)
+    large = _large(buckets)
     heads = large.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("head"))
-    star = large.join(heads, "token").filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(star.select(F.col("cls").alias("a"), F.col("head.cls").alias("b")))), classes)
-    links = _verify(pairs, rows, classes, shared)
+    star = _dealt(large, heads).filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
+    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(star.select(F.col("cls").alias("a"), F.col("head.cls").alias("b")))), marks)
+    links = _verify(pairs, rows, classes)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # rows of a large bucket outside its head's component meet all rows of another component there
-    placed = large.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
-    tops = heads.select("token", F.col("head.cls").alias("top")).join(roots, F.col("top") == F.col("node"), "left").select("token", F.coalesce("root", "top").alias("top_root"))
-    outside = placed.join(tops, "token").filter(F.col("root") != F.col("top_root")).select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    rest = outside.join(placed, "token").filter((F.col("ra") != F.col("root")) & _met(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
-    more = _plausible(_pairs(rest.select("a", F.col("cls").alias("b"))).join(pairs, ["a", "b"], "left_anti"), classes)
-    if not more.isEmpty():
-        links = links.union(_verify(more, rows, classes, shared))
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    more = _between(large, roots, pairs, rows, classes, marks, links)
+    if more is not links:
+        roots = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -415,14 +521,12 @@ def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     a bucket's pairs are dealt over tasks by ``DEALT`` of its rows.
     """
     rows = _keyed(docs)
-    members, shared, classes, buckets = _candidates(rows)
-    large = buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
-    each = large.join(large.groupBy("token").agg(F.ceil(F.count("*") / DEALT).alias("parts")), "token")
-    left = each.select("token", F.pmod(F.xxhash64("cls"), "parts").alias("part"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = each.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cls").alias("b"), "n", "pos")
-    met = left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & _met(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
-    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(met.select("a", "b"))), classes)
-    links = _verify(pairs, rows, classes, shared)
+    members, classes, marks, buckets = _candidates(rows)
+    left, right = _blockwise(_large(buckets), "cls")
+    met = left.select("token", "part", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(right.select("token", "part", F.col("cls").alias("b"), "n", "pos"), ["token", "part"])
+    met = met.filter((F.col("a") < F.col("b")) & _met(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
+    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(met.select("a", "b"))), marks)
+    links = _verify(pairs, rows, classes)
     copies = members.filter("cls IS NOT NULL").groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("copies"))
     ends = links.select(F.col("a").alias("at"), F.col("b").alias("key")).union(links.select("b", "a"))
     linked = ends.join(copies, "key").groupBy(F.col("at").alias("key")).agg(F.sum("copies").alias("others"))
@@ -434,12 +538,12 @@ def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component; repeated rows count once.
 
-    Texts without words all stay. Of a component whose rows all lack ids
+    Texts without words all stay; other columns may have any names. Of a component whose rows all lack ids
     every row stays.
     """
     found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = found.select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), F.col("n_shingles").alias("near_n")).distinct()
-    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_key")), "left_semi")
+    heads = found.select("doc_id", "text_key").distinct().alias("heads")
+    kept = docs.alias("docs").join(heads, F.col("docs.doc_id").cast("long").eqNullSafe(F.col("heads.doc_id")) & (F.xxhash64(F.col("docs.text").cast("string")) == F.col("heads.text_key")), "left_semi")
     ids = docs.groupBy("doc_id").count().filter(F.col("doc_id").isNotNull() & (F.col("count") > 1))
     return kept if ids.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

@@ -72,9 +72,8 @@ def test_media_round_trip(spark, docs, rows):
     assert got == want
 
 
-def test_near_duplicates(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
-    monkeypatch.setattr(ngram_join, "ALL_PAIRS", 4)
+def _grouped(rows):
+    """doc_id, n_shingles and component_id of all rows, by comparing all of them."""
     sets = []
     for d, t in rows:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
@@ -93,8 +92,55 @@ def test_near_duplicates(docs, rows, monkeypatch):
     group = defaultdict(list)
     for i, (d, _) in enumerate(sets):
         group[find(i)].append(d)
-    want = Counter((d, len(s), min((x for x in group[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets))
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()) == want
+    return Counter((d, len(s), min((x for x in group[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets))
+
+
+def _found(docs):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
+
+
+def test_near_duplicates(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    monkeypatch.setattr(ngram_join, "ALL_PAIRS", 4)
+    assert _found(docs) == _grouped(rows)
+
+
+def _templated(rng, n, sections=6, words=60):
+    body = [" ".join(f"s{k}w{i}" for i in range(words)) for k in range(sections)]
+    return [f"{' '.join(body[k] for k in rng.sample(range(sections), 2))} own{i}" for i in range(n)]
+
+
+def test_components_in_one_bucket(spark, monkeypatch):
+    """Large buckets that hold many components: boilerplate, walks of small edits whose ends are far apart, and copies of them."""
+    for name, value in (("FREQUENT", 4), ("ALL_PAIRS", 2), ("DEALT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, texts = random.Random(11), []
+    for k in range(3):
+        w = [f"{k}v{i}" for i in range(100)]
+        for _ in range(40):
+            texts.append(" ".join(w))
+            for _ in range(rng.choice((1, 1, 2, 4, 9))):
+                w[rng.randrange(100)] = rng.choice(("and", f"n{rng.randrange(10**6)}"))
+    texts += _templated(rng, 90)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert _found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == _grouped(rows)
+
+
+def test_pairs_grow_with_the_documents(spark, monkeypatch):
+    """Documents of shared sections and a word of their own: what is compared grows as their number does."""
+    monkeypatch.setattr(ngram_join, "ALL_PAIRS", 4)
+    seen = []
+    measured = ngram_join._measured
+    monkeypatch.setattr(ngram_join, "_measured", lambda pairs, *rest: (seen.append(pairs.count()), measured(pairs, *rest))[1])
+    counts = []
+    for n in (400, 1600):
+        seen.clear()
+        texts = _templated(random.Random(2), n, 8)
+        got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+        assert got.select("component_id").distinct().count() == len({frozenset(w.split("w")[0] for w in t.split()[:-1]) for t in texts})
+        counts.append(sum(seen))
+    assert 1000 < counts[1] <= 5 * counts[0]
 
 
 def test_all_links(docs, rows, monkeypatch):
@@ -114,7 +160,7 @@ def test_all_links(docs, rows, monkeypatch):
 
 def test_other_orders_before_texts():
     """Similar sets pass the other orders' prefixes; sets whose prefixes part under one order go before their texts are met."""
-    rng, classes = np.random.default_rng(5), np.zeros(ngram_join.SLOTS, np.uint8)
+    rng, classes = np.random.default_rng(5), np.zeros(1 << 21, np.uint8)
     some = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
     pairs = []
     for share in (0, 0.1, 0.5, 0.8, 0.9, 1):
@@ -122,14 +168,14 @@ def test_other_orders_before_texts():
             n = int(rng.integers(1, 200))
             both = some(round(share * n))
             pairs.append([np.unique(np.concatenate([both, some(n - len(both))])) for _ in "ab"])
-    sent = [[ngram_join.probes(x, classes) for x in p] for p in pairs]
+    sent = [[[ngram_join.profile(x), *ngram_join.probes(x, classes)] for x in p] for p in pairs]
     kinds = {"a": pa.int64(), "b": pa.int64(), "xa": pa.list_(pa.binary()), "xb": pa.list_(pa.binary())}
     batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([range(len(pairs)), range(len(pairs)), *zip(*sent, strict=True)], kinds.values(), strict=True)], list(kinds))
     left = {i for out in ngram_join._intersecting([batch]) for i in out.column(0).to_pylist()}
     assert {i for i, p in enumerate(pairs) if ngram_join.similar(*p)} <= left and not left & set(range(40))
     for i, (x, y) in enumerate(pairs):
         heads = [[set(ngram_join.ordered(z, classes, k)[0][: ngram_join.probe_length(len(z))].tolist()) for z in (x, y)] for k in (1, 2)]
-        assert (i in left) == all(a & b for a, b in heads)
+        assert (i in left) == (ngram_join.may_meet(*(m[0] for m in sent[i])) and all(a & b for a, b in heads))
 
 
 @pytest.mark.parametrize("per_range", [40_000, 60])
