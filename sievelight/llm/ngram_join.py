@@ -4,10 +4,10 @@ Prefix filtering over several global token orders. Every order puts frequent
 tokens (by a count sketch of all documents) last and breaks ties by another
 hash. Under each order two sets with Jaccard similarity of at least 0.8 share
 a token of their prefixes. The first order's prefixes deal the sets to
-buckets, with the size and positional filters; every set brings the prefixes
-of the other orders along, and a pair is a candidate only if these meet too
-and the sets' profiles leave room for enough overlap. Texts are fetched for
-candidates alone, which are then verified exactly.
+buckets, with the size and positional filters. A pair stays only if the sets'
+profiles leave room for enough overlap and the prefixes of every other order
+meet, too, which each set brings along; the texts of what is left travel to
+each other and are compared exactly.
 
 Equal sets are one class from the start. In a large bucket every row is first
 compared to one representative. What then still lies in different components
@@ -41,8 +41,8 @@ NUM, DEN = 4, 5
 SLOTS, FREQUENT = (1 << 18, 1 << 24), 64
 #: Rows of a bucket up to which all its pairs are formed at once.
 ALL_PAIRS = 32
-#: Rows of a bucket (or components in it) that meet all others in one task, and tasks that share the rows of a bucket's star.
-DEALT, SALTS = 1024, 16
+#: Rows of one key that a task joins, and keys with more rows that may be broadcast.
+DEALT, SMALL = 1024, 100_000
 #: Multipliers of the orders beside the first.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -109,7 +109,7 @@ def slots_for(rows: DataFrame) -> int:
 
 
 def _surveyed(slots: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("profile", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         seen: set[bytes] = set()
@@ -117,20 +117,23 @@ def _surveyed(slots: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                sizes, keys = [], []
+                sizes, keys, profiles = [], [], []
                 for t in utf8(part.column(1)):
                     tokens = shingles(t)
                     key = class_key(tokens)
                     sizes.append(len(tokens))
                     keys.append(key)
-                    if key is not None and key not in seen:
+                    new = key is not None and key not in seen
+                    # a task names the profile of a class once
+                    profiles.append(profile(tokens) if new else None)
+                    if new:
                         if len(seen) < 1_000_000:
                             seen.add(key)
                         np.add.at(counts, (tokens & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(profiles, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema)
         if counts.any():
             data = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([data], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:5]), pa.array([data], pa.binary())], schema=schema)
 
     return run
 
@@ -181,25 +184,17 @@ def ordered(tokens: np.ndarray, classes: np.ndarray, order: int = 0) -> tuple[np
     return tokens[at], rank[at]
 
 
-def probes(tokens: np.ndarray, classes: np.ndarray) -> list[bytes]:
-    """The upper halves of a set's prefix tokens under each order beside the first, sorted."""
-    return [np.unique((ordered(tokens, classes, k)[0][: probe_length(len(tokens))] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(1, len(ORDERS) + 1)]
+# ---------------------------------------------------------------- second pass: prefixes of the first order
 
-
-# ---------------------------------------------------------------- second pass: prefixes of every order
-
-EMITTED = "spread long, token long, cls binary, n int, pos int, frequent boolean, mark array<binary>"
-_EMITTED = ["spread", "token", "cls", "n", "pos", "frequent", "mark"]
+EMITTED = "spread long, token long, cls binary, n int, pos int, frequent boolean"
 
 
 def _prefixes(shared):
-    """A row for each token of the first order's prefix, and one row a set with its mark: the profile and the other orders' prefixes."""
-
     def run(batches):
         classes, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                tokens_, keys, counts, positions, ranks, marks = [], [], [], [], [], []
+                tokens_, keys, counts, positions, ranks = [], [], [], [], []
                 for t in utf8(batch.column(0).slice(i, 512)):
                     own = shingles(t)
                     key = class_key(own)
@@ -214,22 +209,17 @@ def _prefixes(shared):
                     keys += [key] * p
                     counts.append(np.full(p, n, np.int32))
                     positions.append(np.arange(p, dtype=np.int32))
-                    marks.append((key, [profile(own), *probes(own, classes)]))
                 if not keys:
                     continue
                 token, frequent = np.concatenate(tokens_), np.concatenate(ranks) > 0
                 salt = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
                 spread = np.where(frequent, _mixed(token ^ salt), token)
-                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(token.view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(positions)), pa.array(frequent), pa.nulls(len(keys), pa.list_(pa.binary()))], _EMITTED)
-                own_keys = [k for k, _ in marks]
-                none = pa.nulls(len(marks), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(k[:8] for k in own_keys), "<i8")), pa.nulls(len(marks), pa.int64()), pa.array(own_keys, pa.binary()), none, none, pa.array([True] * len(marks)), pa.array([m for _, m in marks], pa.list_(pa.binary()))], _EMITTED)
+                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(token.view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(positions)), pa.array(frequent)], ["spread", "token", "cls", "n", "pos", "frequent"])
 
     return run
 
 
-BUCKETED = "a binary, b binary, token long, n int, pos int, mark array<binary>"
-_BUCKETED = ["a", "b", "token", "n", "pos", "mark"]
+BUCKETED = "a binary, b binary, token long, n int, pos int"
 
 
 def _passes(na, pa_, nb, pb):
@@ -240,57 +230,61 @@ def _passes(na, pa_, nb, pb):
 
 def _as_they_are(rows: pa.Table):
     cls = rows.column("cls").combine_chunks()
-    yield from pa.table([cls, pa.nulls(len(cls), pa.binary()), *(rows.column(c) for c in ("token", "n", "pos", "mark"))], names=_BUCKETED).to_batches(1 << 14)
+    yield from pa.table([cls, pa.nulls(len(cls), pa.binary()), *(rows.column(c) for c in ("token", "n", "pos"))], names=["a", "b", "token", "n", "pos"]).to_batches(1 << 14)
 
 
-def _bucketed(batches):
-    """Rows sorted by (spread, token, cls): pairs of small buckets, and the rows of larger and of frequent ones, and marks, as they are.
+def _bucketed(most: int):
+    """Rows sorted by spread: pairs of small buckets, and the rows of larger and of frequent ones as they are.
 
-    Of a bucket that goes on in the next batch at most ``ALL_PAIRS`` rows are
-    held; a larger one is passed on row by row.
+    Of a bucket that goes on in the next batch at most ``most`` rows are held;
+    a larger one is passed on row by row.
     """
-    held, opened = None, None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        if opened is not None:
-            of = rows.column("token").to_numpy() == opened
-            of &= ~rows.column("frequent").to_numpy()
-            more = len(of) if of.all() else int(np.flatnonzero(~of)[0])
-            yield from _as_they_are(rows.slice(0, more))
-            rows, opened = rows.slice(more), opened if more == len(of) else None
-        held = None
-        if not rows.num_rows:
-            continue
-        if not rows.column("frequent")[rows.num_rows - 1].as_py():
-            token = rows.column("token").fill_null(0).to_numpy()
-            other = np.flatnonzero(token != token[-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            held, rows = rows.slice(cut), rows.slice(0, cut)
-        yield from _buckets(rows)
-        if held is not None and held.num_rows > ALL_PAIRS:
-            opened = held.column("token")[0].as_py()
-            yield from _as_they_are(held)
+
+    def run(batches):
+        held, opened = None, None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if opened is not None:
+                of = rows.column("token").to_numpy() == opened
+                of &= ~rows.column("frequent").to_numpy()
+                more = len(of) if of.all() else int(np.flatnonzero(~of)[0])
+                yield from _as_they_are(rows.slice(0, more))
+                rows, opened = rows.slice(more), opened if more == len(of) else None
             held = None
-    if held is not None:
-        yield from _buckets(held)
+            if not rows.num_rows:
+                continue
+            if not rows.column("frequent")[rows.num_rows - 1].as_py():
+                token = rows.column("token").to_numpy()
+                other = np.flatnonzero(token != token[-1])
+                cut = int(other[-1]) + 1 if len(other) else 0
+                held, rows = rows.slice(cut), rows.slice(0, cut)
+            yield from _buckets(rows, most)
+            if held is not None and held.num_rows > most:
+                opened = held.column("token")[0].as_py()
+                yield from _as_they_are(held)
+                held = None
+        if held is not None:
+            yield from _buckets(held, most)
+
+    return run
 
 
-def _buckets(rows: pa.Table):
+def _buckets(rows: pa.Table, most: int):
     if not rows.num_rows:
         return
-    token, n, pos = (rows.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("token", "n", "pos"))
+    token, n, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "pos"))
     frequent = rows.column("frequent").to_numpy()
     start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | frequent[1:] | frequent[:-1])))
     size = np.diff(np.append(start, len(token)))
     members = np.repeat(size, size)
-    large = frequent | (members > ALL_PAIRS)
+    large = frequent | (members > most)
     if large.any():
         yield from _as_they_are(rows.filter(pa.array(large)))
     few = np.flatnonzero((members > 1) & ~large)
     token, n, pos = token[few], n[few], pos[few]
     firsts, seconds = [], []
-    for d in range(1, ALL_PAIRS):
+    for d in range(1, most):
         i = np.flatnonzero(token[d:] == token[:-d])
         if not len(i):
             break
@@ -304,17 +298,20 @@ def _buckets(rows: pa.Table):
         cls = rows.column("cls").combine_chunks()
         a, b = cls.take(pa.array(np.concatenate(firsts))), cls.take(pa.array(np.concatenate(seconds)))
         none = pa.nulls(len(a), pa.int32())
-        yield from pa.table([a, b, pa.nulls(len(a), pa.int64()), none, none, pa.nulls(len(a), pa.list_(pa.binary()))], names=_BUCKETED).to_batches(1 << 14)
+        yield from pa.table([a, b, pa.nulls(len(a), pa.int64()), none, none], names=["a", "b", "token", "n", "pos"]).to_batches(1 << 14)
+
+
+def _index(n: Column) -> Column:
+    """``index_length`` as a Column: integer division rounds down for these signs."""
+    return n - F.floor((2 * NUM * n + NUM + DEN - 1) / (NUM + DEN)) + 1
 
 
 def _met(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     """``_passes`` for either side as the smaller one, as a Column."""
 
     def one(n, p, m, q):
-        # integer division rounds down for these signs: ceil(x / 9) = (x + 8) div 9
         least = F.floor((NUM * (n + m) + NUM + DEN - 1) / (NUM + DEN))
-        index = n - F.floor((2 * NUM * n + NUM + DEN - 1) / (NUM + DEN)) + 1
-        return (n <= m) & (DEN * n >= NUM * m) & (p < index) & (F.least(n - p, m - q) >= least)
+        return (n <= m) & (DEN * n >= NUM * m) & (p < _index(n)) & (F.least(n - p, m - q) >= least)
 
     return one(na, pa_, nb, pb) | one(nb, pb, na, pa_)
 
@@ -342,15 +339,37 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * either
 
 
-def may_link(x: list[bytes], y: list[bytes]) -> bool:
-    """Whether two marks allow a link: room in the profiles, and prefixes that meet under every order (equal halves of different tokens only let more pass)."""
-    return may_meet(x[0], y[0]) and all(len(np.intersect1d(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), assume_unique=True)) for p, q in zip(x[1:], y[1:], strict=True))
+def probes(tokens: np.ndarray, classes: np.ndarray) -> list[bytes]:
+    """The upper halves of a set's prefix tokens under each order beside the first, sorted."""
+    return [np.unique((ordered(tokens, classes, k)[0][: probe_length(len(tokens))] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(1, len(ORDERS) + 1)]
 
 
-def _intersecting(batches):
-    for batch in batches:
-        good = [may_link(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _probed(shared):
+    def run(batches):
+        classes = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = [probes(shingles(t), classes) for t in utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], ["cls", "text", "probes"])
+
+    return run
+
+
+def _chosen(test):
+    """The pairs whose two sides pass ``test``."""
+
+    def run(batches):
+        for batch in batches:
+            good = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def prefixes_meet(x: list[bytes], y: list[bytes]) -> bool:
+    """Whether the prefixes meet under every order; equal halves of different tokens only let more pass."""
+    return all(len(np.intersect1d(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), assume_unique=True)) for p, q in zip(x, y, strict=True))
 
 
 def _apart(batches):
@@ -358,7 +377,7 @@ def _apart(batches):
     for batch in batches:
         least = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = (np.frombuffer(m[0], np.uint8) for m in (x, y))
+            a, b = (np.frombuffer(m or b"", np.uint8) for m in (x, y))
             most = int(np.minimum(a, b).sum(dtype=np.int64)) if len(a) and len(b) else 0
             total = int(a.sum(dtype=np.int64) + b.sum(dtype=np.int64))
             least.append(1 - most / (total - most) if len(a) and len(b) else 0.0)
@@ -373,30 +392,75 @@ def _compared(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "linked", "far"])
 
 
-def _ended(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """``pairs`` with ``column`` of both classes, as xa and xb; only rows of classes in pairs travel."""
+def _crowded(rows: DataFrame, *keys: str) -> DataFrame | None:
+    """key and parts, for the values of ``keys`` that more than ``DEALT`` rows hold; None where there are none.
+
+    They are counted on executors. As many as ``SMALL`` are broadcast, more
+    are joined like any table.
+    """
+    held = rows.select(F.col(keys[0]).alias("key"))
+    for k in keys[1:]:
+        held = held.union(rows.select(k))
+    counts = held.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > DEALT).select("key", F.ceil(F.col("rows") / DEALT).cast("int").alias("parts"))
+    few = counts.limit(SMALL + 1).collect()
+    if not few:
+        return None
+    return F.broadcast(rows.sparkSession.createDataFrame(few, counts.schema)) if len(few) <= SMALL else counts
+
+
+def _parts(rows: DataFrame, crowded: DataFrame | None, key: str, by: str | None) -> DataFrame:
+    """``rows`` with ``part``: one of those of a crowded key, by ``by``; without ``by`` a row for each of them."""
+    if crowded is None:
+        return rows.withColumn("part", F.lit(0))
+    each = rows.join(crowded.withColumnRenamed("key", key), key, "left")
+    part = F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int") if by else F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    return each.withColumn("part", part).drop("parts")
+
+
+def _dealt(rows: DataFrame, lookup: DataFrame, crowded: DataFrame | None, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``lookup`` (one row for each ``key``), the rows of a crowded key in parts by ``by``."""
+    if crowded is None:
+        return rows.join(lookup, key)
+    return _parts(rows, crowded, key, by).join(_parts(lookup, crowded, key, None), [key, "part"]).drop("part")
+
+
+def _ended(pairs: DataFrame, of: DataFrame, column: str, crowded: DataFrame | None) -> DataFrame:
+    """``pairs`` with ``column`` of both classes, as xa and xb; only rows of classes in pairs travel, and no task meets all pairs of one class."""
     own = of.join(_members(pairs), "cls", "left_semi").select("cls", column).dropDuplicates(["cls"])
-    sides = [own.select(F.col("cls").alias(k), F.col(column).alias(f"x{k}")) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "xa", "xb")
+    for k, other in ("ab", "ba"):
+        pairs = _dealt(pairs, own.select(F.col("cls").alias(k), F.col(column).alias(f"x{k}")), crowded, k, other)
+    return pairs.select("a", "b", "xa", "xb")
 
 
-def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs whose marks allow a link: no link is lost, and no text has been read."""
-    return stored(_ended(pairs, marks, "mark").mapInArrow(trimmed(_intersecting), "a binary, b binary"), "pairs")
+def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text of each class in pairs."""
+    reps = classes.join(_members(pairs), "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
+    return docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
 
 
 def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, whether they are linked and their distance, from the texts of the pairs' classes."""
-    reps = classes.join(_members(pairs), "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
-    texts = stored(docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text"), "texts", compression="zstd")
-    found = stored(_ended(pairs, texts, "text").mapInArrow(trimmed(_compared), "a binary, b binary, linked boolean, far double"), "links")
+    """a, b, whether they are linked and their distance, from the texts of the (stored) pairs' classes."""
+    texts = stored(_texts(pairs, docs, classes), "texts", compression="zstd")
+    found = stored(_ended(pairs, texts, "text", _crowded(pairs, "a", "b")).mapInArrow(trimmed(_compared), "a binary, b binary, linked boolean, far double"), "links")
     released(docs.sparkSession)
     return found
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of classes that are similar."""
-    return _measured(pairs, docs, classes).filter("linked").select("a", "b")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """``pairs``, stored, and those of them that are similar.
+
+    First the profiles must leave room for enough overlap. Then one text of
+    each class left is fetched, and gets its prefixes under the other orders.
+    Only where all of these meet do both texts of a pair travel to each other.
+    """
+    pairs = stored(pairs, "pairs")
+    crowded = _crowded(pairs, "a", "b")
+    near = stored(_ended(pairs, classes, "profile", crowded).mapInArrow(trimmed(_chosen(may_meet)), "a binary, b binary"), "near")
+    texts = stored(_texts(near, docs, classes).mapInArrow(trimmed(_probed(shared)), "cls binary, text string, probes array<binary>"), "texts", compression="zstd")
+    met = stored(_ended(near, texts, "probes", crowded).mapInArrow(trimmed(_chosen(prefixes_meet)), "a binary, b binary"), "met")
+    links = stored(_ended(met, texts, "text", crowded).mapInArrow(trimmed(_compared), "a binary, b binary, linked boolean, far double").filter("linked").select("a", "b"), "links")
+    released(docs.sparkSession)
+    return pairs, links
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -404,82 +468,79 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame):
-    """The surveyed rows, the classes of equal sets, their marks, and the buckets of the first order."""
+    """The surveyed rows, the frequency classes of tokens, the classes of equal sets, and the buckets of the first order."""
     spark = rows.sparkSession
     slots = slots_for(rows)
-    survey = stored(rows.mapInArrow(trimmed(_surveyed(slots)), "doc_id long, text_key long, n_shingles long, cls binary, sketch binary"), "survey", compression="zstd")
-    members = survey.filter("sketch IS NULL").drop("sketch")
+    survey = stored(rows.mapInArrow(trimmed(_surveyed(slots)), "doc_id long, text_key long, n_shingles long, cls binary, profile binary, sketch binary"), "survey", compression="zstd")
+    members = survey.filter("sketch IS NULL").drop("sketch", "profile")
     shared = spark.sparkContext.broadcast(token_classes(survey.filter("sketch IS NOT NULL").select("sketch"), slots).tobytes())
-    classes = stored(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least")), "classes", compression="zstd")
+    own = survey.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"), F.min("profile").alias("profile"))
+    classes = stored(own, "classes", compression="zstd")
 
-    emitted = rows.select("text").mapInArrow(trimmed(_prefixes(shared)), EMITTED).repartition("spread").sortWithinPartitions("spread", "token", "cls")
+    emitted = rows.select("text").mapInArrow(trimmed(_prefixes(shared)), EMITTED).repartition("spread").sortWithinPartitions("spread")
     # copies in different tasks send the same rows
-    buckets = stored(emitted.select(*_EMITTED[1:]).mapInArrow(trimmed(_bucketed), BUCKETED), "buckets", compression="zstd")
+    buckets = stored(emitted.select("token", "cls", "n", "pos", "frequent").mapInArrow(trimmed(_bucketed(ALL_PAIRS)), BUCKETED), "buckets", compression="zstd")
     del emitted
     released(spark)
-    marks = buckets.filter("mark IS NOT NULL").select(F.col("a").alias("cls"), "mark")
-    return members, classes, marks, buckets.filter("mark IS NULL").drop("mark")
+    return members, shared, classes, buckets
 
 
 def _large(buckets: DataFrame) -> DataFrame:
-    return buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct()
+    return stored(buckets.filter("b IS NULL").select("token", F.col("a").alias("cls"), F.col("n").cast("long"), F.col("pos").cast("long")).distinct(), "large", compression="zstd")
 
 
-def _dealt(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``rows`` (token, cls, ...) joined to the one row of ``tokens`` for their token, a token's rows in ``SALTS`` parts."""
-    each = tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(each, ["token", "part"]).drop("part")
-
-
-def _blockwise(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+def _blockwise(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     """Two sides of a self-join on (token, part) in which every row meets all of its token, dealt by ``DEALT`` rows."""
-    each = _dealt(rows, rows.groupBy("token").agg(F.ceil(F.count("*") / DEALT).alias("parts"))) if item == "cls" else rows.join(rows.groupBy("token").agg(F.ceil(F.count("*") / DEALT).alias("parts")), "token")
-    return each.withColumn("part", F.pmod(F.xxhash64(item), "parts")), each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    crowded = _crowded(rows, "token")
+    return _parts(rows, crowded, "token", by), _parts(rows, crowded, "token", None)
 
 
-def _between(large: DataFrame, roots: DataFrame, tried: DataFrame, rows: DataFrame, classes: DataFrame, marks: DataFrame, links: DataFrame) -> DataFrame:
+def _between(large: DataFrame, crowded: DataFrame | None, roots: DataFrame, tried: DataFrame, rows: DataFrame, classes: DataFrame, shared, links: DataFrame) -> DataFrame:
     """Links between the components that large buckets still hold, by the triangle inequality of Jaccard distance."""
     edge, slack = 1 - NUM / DEN, 1e-9
     placed = large.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
     torn = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    placed = stored(_dealt(placed, torn), "placed", compression="zstd")
-
-    groups = placed.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    placed = stored(_dealt(placed, torn, crowded, "token", "cls"), "placed", compression="zstd")
+    groups = stored(placed.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("pos") < _index(F.col("n"))).alias("early"), F.count("*").alias("size")), "groups")
     left, right = _blockwise(groups, "root")
-    left, right = left.select("token", "part", F.col("root").alias("a"), "lo", "hi"), right.select("token", "part", F.col("root").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    sizes = (DEN * F.col("hi") >= NUM * F.col("lo2")) & (DEN * F.col("hi2") >= NUM * F.col("lo"))
+    left, right = left.select("token", "part", F.col("root").alias("a"), "lo", "hi", "early"), right.select("token", "part", F.col("root").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("early").alias("early2"))
+    sizes = (DEN * F.col("hi") >= NUM * F.col("lo2")) & (DEN * F.col("hi2") >= NUM * F.col("lo")) & (F.col("early") | F.col("early2"))
     tops = stored(left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct(), "tops")
     if tops.isEmpty():
         return links
 
     # how far each row of these components lies from its root
-    inner = placed.join(_members(tops).withColumnRenamed("cls", "root"), "root", "left_semi").filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
-    rays = _measured(inner, rows, classes).select(F.col("a").alias("cls"), F.col("b").alias("root"), "far")
-    radius = rays.groupBy(F.col("root").alias("of")).agg(F.max("far").alias("radius"))
+    inner = placed.filter("cls <> root").select("cls", "root").distinct()
+    inner = _dealt(inner, _members(tops).withColumnRenamed("cls", "root"), _crowded(inner, "root"), "root", "cls")
+    rays = _measured(stored(inner.select(F.col("cls").alias("a"), F.col("root").alias("b")), "inner"), rows, classes).select(F.col("a").alias("cls"), F.col("b").alias("root"), "far")
+    radius = stored(rays.groupBy(F.col("root").alias("of")).agg(F.max("far").alias("radius")), "radius")
 
     def reaching(pairs, distance):
         for k in "ab":
             pairs = pairs.join(radius.select(F.col("of").alias(k), F.col("radius").alias(f"r{k}")), k, "left").fillna(0.0, [f"r{k}"])
-        return pairs.filter(F.col(distance) <= edge + F.col("ra") + F.col("rb") + slack).drop("ra", "rb")
+        return pairs.filter(F.col(distance) <= edge + F.col("ra") + F.col("rb") + slack)
 
-    near = stored(reaching(_ended(tops, marks, "mark").mapInArrow(trimmed(_apart), "a binary, b binary, least double"), "least").select("a", "b"), "near")
+    near = stored(reaching(_ended(tops, classes, "profile", _crowded(tops, "a", "b")).mapInArrow(trimmed(_apart), "a binary, b binary, least double"), "least").select("a", "b"), "near")
     known = _measured(near, rows, classes)
     links = links.union(known.filter("linked").select("a", "b"))
-    again = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    open_ = reaching(known.filter("NOT linked"), "far").select("a", "b", F.col("far").alias("gap"))
+    # of the others the component with fewer rows is sent to the rows of the other one
+    weight = groups.groupBy(F.col("root").alias("of")).agg(F.sum("size").alias("size"))
+    open_ = reaching(known.filter("NOT linked"), "far")
     for k in "ab":
-        open_ = open_.join(again.select(F.col("node").alias(k), F.col("root").alias(f"now_{k}")), k, "left").withColumn(f"now_{k}", F.coalesce(f"now_{k}", k))
-    open_ = stored(open_.filter("now_a <> now_b").select("a", "b", "gap"), "open")
+        open_ = open_.join(weight.select(F.col("of").alias(k), F.col("size").alias(f"w{k}")), k)
+    few = F.col("wa") < F.col("wb")
+    open_ = stored(open_.select(F.when(few, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(few, F.col("a")).otherwise(F.col("b")).alias("b"), F.col("far").alias("gap"), F.when(few, F.col("rb")).otherwise(F.col("ra")).alias("reach")), "open")
     if open_.isEmpty():
         return links
 
     own = placed.join(rays, ["cls", "root"], "left").fillna(0.0, ["far"])
-    x = own.select("token", F.col("root").alias("a"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("far").alias("fx"))
     y = own.select("token", F.col("root").alias("b"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("far").alias("fy"))
-    met = open_.join(x, "a").filter(F.col("fx") + F.col("gap") <= 2 + slack).join(y, ["token", "b"])
+    sent = open_.join(y, "b").filter(F.col("gap") <= edge + F.col("reach") + F.col("fy") + slack)
+    x = own.select("token", F.col("root").alias("a"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("far").alias("fx"))
+    met = _parts(sent, crowded, "token", None).join(_parts(x, crowded, "token", "x"), ["token", "a", "part"])
     met = met.filter((F.col("gap") <= edge + F.col("fx") + F.col("fy") + slack) & _met(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
-    pairs = _plausible(_pairs(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(tried, ["a", "b"], "left_anti"), marks)
-    return links.union(_verify(pairs, rows, classes))
+    untried = _pairs(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    return links.union(_verified(untried, rows, classes, shared)[1])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -493,21 +554,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is no limit to its length.
     """
     rows = _keyed(docs)
-    members, classes, marks, buckets = _candidates(rows)
+    members, shared, classes, buckets = _candidates(rows)
     large = _large(buckets)
+    crowded = _crowded(large, "token")
     heads = large.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("head"))
-    star = _dealt(large, heads).filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(star.select(F.col("cls").alias("a"), F.col("head.cls").alias("b")))), marks)
-    links = _verify(pairs, rows, classes)
+    star = _dealt(large, heads, crowded, "token", "cls").filter((F.col("cls") != F.col("head.cls")) & _met(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
+    pairs, links = _verified(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(star.select(F.col("cls").alias("a"), F.col("head.cls").alias("b")))), rows, classes, shared)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = _between(large, roots, pairs, rows, classes, marks, links)
+    more = _between(large, crowded, roots, pairs, rows, classes, shared, links)
     if more is not links:
         roots = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("cls", "root").join(names, "root").select(F.col("cls").alias("key"), "component_id")
-    named_rows = members.join(of, F.col("cls") == F.col("key"), "left")
+    # only classes that are linked have another name than their own least id
+    linked = roots.select(F.col("node").alias("cls"), "root").union(roots.select("root", "root").distinct()).join(classes.select("cls", "least"), "cls")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = _dealt(linked.select("cls", "root"), names, _crowded(roots, "root"), "root", "cls").select("cls", "component_id")
+    own = classes.select("cls", "least").join(of, "cls", "left").select(F.col("cls").alias("key"), F.coalesce("component_id", "least").alias("component_id"))
+    named_rows = members.join(own, F.col("cls") == F.col("key"), "left")
     return named_rows.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
 
 
@@ -521,12 +584,11 @@ def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     a bucket's pairs are dealt over tasks by ``DEALT`` of its rows.
     """
     rows = _keyed(docs)
-    members, classes, marks, buckets = _candidates(rows)
+    members, shared, classes, buckets = _candidates(rows)
     left, right = _blockwise(_large(buckets), "cls")
     met = left.select("token", "part", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(right.select("token", "part", F.col("cls").alias("b"), "n", "pos"), ["token", "part"])
     met = met.filter((F.col("a") < F.col("b")) & _met(F.col("na"), F.col("pa"), F.col("n"), F.col("pos")))
-    pairs = _plausible(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(met.select("a", "b"))), marks)
-    links = _verify(pairs, rows, classes)
+    links = _verified(_pairs(buckets.filter("b IS NOT NULL").select("a", "b").union(met.select("a", "b"))), rows, classes, shared)[1]
     copies = members.filter("cls IS NOT NULL").groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("copies"))
     ends = links.select(F.col("a").alias("at"), F.col("b").alias("key")).union(links.select("b", "a"))
     linked = ends.join(copies, "key").groupBy(F.col("at").alias("key")).agg(F.sum("copies").alias("others"))

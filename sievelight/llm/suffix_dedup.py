@@ -9,8 +9,11 @@ their last one (at most 200 bytes), followed by the bytes before the anchor,
 backwards (at most 136).
 
 Merge sort. Every task sorts its suffixes into a run and writes it front-coded
-(shared prefix length and rest). Range splitters cut the runs, the pieces are
-exchanged, and each range merges its pieces with a loser tree that carries
+(shared prefix length and rest). The first keys of the runs' blocks are sorted
+and one in so many is a splitter, whole, so a range holds about as many
+suffixes however long the prefixes are that they share. Splitters cut the
+runs (beyond ``FAN`` of them in two levels, the second from a table), the
+pieces are exchanged, and each range merges its pieces with a loser tree that carries
 prefix lengths: of two suffixes the one that shares more with the last output
 is smaller, and only at equal lengths are bytes compared, from there on. The
 merged order and its prefix lengths show which windows are equal: those whose
@@ -22,7 +25,7 @@ and these meet in one more aggregation.
 from __future__ import annotations
 
 import hashlib
-import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ LENGTH, GRAM = 200, 64
 GRAMS = LENGTH - GRAM + 1
 #: Windows that are scanned at once, bytes of a run, suffixes in a block, and in a range.
 STRETCH, RUN_BYTES, BLOCK, RANGE = 1 << 20, 48 << 20, 512, 40_000
-#: First keys of blocks that are drawn for each splitter, and bytes of a splitter.
-DRAWN, SPLITTER_BYTES = 6, 96
+#: Splitters that a task may hold, and ranges whose splitters are chosen in one task.
+FAN, CHOSEN = 2048, 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -137,7 +140,7 @@ def decoded(lcp: np.ndarray, size: np.ndarray, rest: bytes) -> list[bytes]:
     return keys
 
 
-def _runs(batches):
+def _runs(batches, block: int = BLOCK):
     schema = pa.schema([("first", pa.binary()), ("n", pa.int32()), ("lcp", pa.binary()), ("size", pa.binary()), ("rest", pa.binary()), ("meta", pa.binary()), ("uid", pa.binary()), ("tid", pa.binary()), ("at", pa.int64())])
     pool: dict[bytes, list] = {}
     held, seen = 0, set()
@@ -167,15 +170,15 @@ def _runs(batches):
             if uids:
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(uids), f.type) for f in list(schema)[:6]), pa.array(uids, pa.binary()), pa.array(tids, pa.binary()), pa.array(ats, pa.int64())], schema=schema)
             if held > RUN_BYTES:
-                yield from _blocks(pool, schema)
+                yield from _blocks(pool, schema, block)
                 pool, held = {}, 0
-    yield from _blocks(pool, schema)
+    yield from _blocks(pool, schema, block)
 
 
-def _blocks(pool: dict[bytes, list], schema: pa.Schema):
+def _blocks(pool: dict[bytes, list], schema: pa.Schema, block: int):
     run = sorted((own[0], uid, *own[1:]) for uid, own in pool.items())
-    for i in range(0, len(run), BLOCK):
-        part = run[i : i + BLOCK]
+    for i in range(0, len(run), block):
+        part = run[i : i + block]
         lcp, size, rest = front_coded([x[0] for x in part])
         meta = np.array([x[1:] for x in part], _META)
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part[0][0], len(part), lcp.tobytes(), size.tobytes(), rest, meta.tobytes(), None, None, None), schema, strict=True)], schema=schema)
@@ -183,48 +186,108 @@ def _blocks(pool: dict[bytes, list], schema: pa.Schema):
 
 # ---------------------------------------------------------------- exchange and merge
 
-PIECES = "range int, run string, block long, lcp binary, size binary, rest binary, meta binary"
+PIECES = "range long, run string, block long, lcp binary, size binary, rest binary, meta binary"
+_PIECES = pa.schema([("range", pa.int64()), ("run", pa.string()), ("block", pa.int64()), *((c, pa.binary()) for c in ("lcp", "size", "rest", "meta"))])
 
 
-def _cut(splitters: list[bytes]):
+def _every(step: int, coarse: int):
+    """Of sorted keys one in ``step``, and whether it is one in ``coarse`` of these; of equal keys one."""
+
+    def run(batches):
+        at, n, last = 0, 0, None
+        for batch in batches:
+            keys, marks = [], []
+            for key in batch.column(0).to_pylist():
+                if at % step == 0 and key != last:
+                    keys.append(key)
+                    marks.append(n % coarse == 0)
+                    n, last = n + 1, key
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, pa.bool_())], ["key", "coarse"])
+
+    return run
+
+
+def _pieces_of(block: tuple, splitters: list[bytes]):
+    """The parts of a front-coded block (lcp, size, rest, meta) between splitters, each with the number of splitters up to it."""
+    lcp, size, rest, meta = block
+    lcp, size, meta = np.frombuffer(lcp, np.uint16), np.frombuffer(size, np.uint16), np.frombuffer(meta, _META)
+    keys = decoded(lcp, size, rest)
+    lo, hi = _range(splitters, keys[0]), _range(splitters, keys[-1])
+    at = 0
+    for r in range(lo, hi + 1):
+        a, b = at, len(keys)
+        while r < hi and a < b:
+            m = (a + b) // 2
+            a, b = (m + 1, b) if keys[m] < splitters[r] else (a, m)
+        end = a if r < hi else len(keys)
+        if at < end:
+            own = lcp[at:end].copy()
+            own[0] = 0
+            sizes = size[at:end]
+            skip = int((size[:at].astype(np.int64) - lcp[:at]).sum())
+            start = skip + int(sizes[0]) - int(lcp[at])
+            took = int((sizes[1:].astype(np.int64) - own[1:]).sum())
+            yield r, (own.tobytes(), sizes.tobytes(), keys[at] + rest[start : start + took], meta[at:end].tobytes())
+        at = end
+
+
+def _cut(shared):
     """Cuts blocks at the splitters. Blocks of one partition file order are runs in order of their first keys."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, block = TaskContext.get().partitionId(), 0
+        task, block = str(TaskContext.get().partitionId()), 0
         for batch in batches:
             rows = []
-            for _, lcp, size, rest, meta in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                lcp, size, meta = np.frombuffer(lcp, np.uint16), np.frombuffer(size, np.uint16), np.frombuffer(meta, _META)
-                keys = decoded(lcp, size, rest)
-                # the splitters above each end of the block
-                lo, hi = _range(splitters, keys[0]), _range(splitters, keys[-1])
-                ends, at = [], 0
-                for r in range(lo, hi):
-                    a, b = at, len(keys)
-                    while a < b:
-                        m = (a + b) // 2
-                        a, b = (m + 1, b) if keys[m] < splitters[r] else (a, m)
-                    ends.append((r, at, a))
-                    at = a
-                for r, a, b in [*ends, (hi, at, len(keys))]:
-                    if a < b:
-                        own = lcp[a:b].copy()
-                        own[0] = 0
-                        sizes = size[a:b]
-                        skip = int((size[:a].astype(np.int64) - lcp[:a]).sum())
-                        took = int((sizes[1:].astype(np.int64) - own[1:]).sum())
-                        start = skip + int(sizes[0]) - int(lcp[a])
-                        rows.append((r, str(task), block, own.tobytes(), sizes.tobytes(), keys[a] + rest[start : start + took], meta[a:b].tobytes()))
+            for own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows += [(r, task, block, *part) for r, part in _pieces_of(own, shared.value)]
                 block += 1
             if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["range", "run", "block", "lcp", "size", "rest", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+
+    return run
+
+
+def _cut_again(batches):
+    """Cuts pieces at the splitters that lie within their range; ranges are numbered anew."""
+    for batch in batches:
+        rows = []
+        for r, task, block, lcp, size, rest, meta, inner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows += [(r << 24 | k, task, block, *part) for k, part in _pieces_of((lcp, size, rest, meta), inner or [])]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+
+
+def _placed(shared):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_range(shared.value, k) for k in batch.column(0).to_pylist()], pa.int64()), batch.column(0)], ["range", "key"])
 
     return run
 
 
+def ranged(blocks: DataFrame, per_range: int, block: int, fan: int) -> DataFrame:
+    """The pieces of all runs, in ranges of about ``per_range`` suffixes.
+
+    At most some ``fan`` splitters reach the driver and the tasks; where there
+    are more, the rest come from a table, each to the pieces of its range.
+    """
+    spark = blocks.sparkSession
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    ranges = -(-total // per_range)
+    tasks = max(1, -(-ranges // CHOSEN))
+    firsts = blocks.select("first").repartitionByRange(tasks, "first").sortWithinPartitions("first")
+    keys = stored(firsts.mapInArrow(_every(max(1, per_range // block), max(1, -(-ranges // fan))), "key binary, coarse boolean"), "splitters")
+    shared = spark.sparkContext.broadcast(sorted(bytes(r["key"]) for r in keys.filter("coarse").select("key").collect()))
+    pieces = blocks.select("lcp", "size", "rest", "meta").mapInArrow(trimmed(_cut(shared)), PIECES)
+    if ranges <= fan:
+        return pieces
+    inner = keys.filter("NOT coarse").select("key").mapInArrow(_placed(shared), "range long, key binary").groupBy("range").agg(F.array_sort(F.collect_list("key")).alias("inner"))
+    return pieces.join(inner, "range", "left").select(*[f.name for f in _PIECES], "inner").mapInArrow(trimmed(_cut_again), PIECES)
+
+
 def _range(splitters: list[bytes], key: bytes) -> int:
     """Number of splitters that are not above the key."""
     a, b = 0, len(splitters)
@@ -293,11 +356,12 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
 FOUND = "uid binary, low int, high int, window long, times int"
 
 
-def _resolved(keys: list[bytes], lcp: np.ndarray, meta: np.ndarray) -> list[tuple]:
+def _resolved(keys: list[bytes], lcp: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, ...]:
     """Repeated windows of sorted distinct suffixes, and windows of groups that may go on in another range.
 
-    Rows are (uid, low, high, None, None) for the windows low to high of a
-    suffix, counted from its first, or (uid, low, high, hash, times).
+    Five arrays (suffix, low, high, window hash, times): the windows low to
+    high of a suffix, counted from its first, repeat (times is 0), or the one
+    window low occurs ``times`` times here and may occur in another range.
     """
     count = len(keys)
     right, left, weight = meta["right"].astype(np.int64), meta["left"].astype(np.int64), meta["weight"].astype(np.int64)
@@ -305,14 +369,15 @@ def _resolved(keys: list[bytes], lcp: np.ndarray, meta: np.ndarray) -> list[tupl
     before = np.zeros((width, count), np.uint8)
     for i, k in enumerate(keys):
         before[: len(k) - right[i], i] = np.frombuffer(k, np.uint8)[right[i] :]
-    edge = np.zeros(count, bool)
-    close = np.flatnonzero(lcp[1:] < GRAM)
-    edge[: (close[0] + 1 if len(close) else count)] = True
-    edge[(close[-1] + 1 if len(close) else 0) :] = True
-    # hashes of what stands right of the anchor, for the groups at the ends alone
-    ends = np.flatnonzero(edge)
+    # what each suffix shares with the first and with the last of the range: only what reaches an end can go on beyond it
+    reach = np.full(count, LENGTH, np.int64)
+    if count > 1:
+        down, up = np.minimum.accumulate(lcp[1:]), np.minimum.accumulate(lcp[:0:-1])[::-1]
+        reach[1:-1] = np.maximum(down[:-1], up[1:])
+    ends = np.flatnonzero(reach >= GRAM)
     place = np.zeros(count, np.int64)
     place[ends] = np.arange(len(ends))
+    # hashes of what stands right of the anchor, for the groups at the ends alone
     after = np.zeros((LENGTH, len(ends)), np.uint8)
     for j, i in enumerate(ends.tolist()):
         after[: right[i], j] = np.frombuffer(keys[i], np.uint8)[: right[i]]
@@ -320,7 +385,7 @@ def _resolved(keys: list[bytes], lcp: np.ndarray, meta: np.ndarray) -> list[tupl
     for t in range(LENGTH):
         sums[t + 1] = sums[t] * _A + (after[t].astype(np.uint64) + np.uint64(1))
     hit = np.zeros((width + 1, count), bool)
-    cut_rows: list[tuple] = []
+    parts: list[tuple] = []
     h = np.zeros(count, np.uint64)
     for x in range(width + 1):
         if x:
@@ -332,17 +397,15 @@ def _resolved(keys: list[bytes], lcp: np.ndarray, meta: np.ndarray) -> list[tupl
         key = _mixed(group * _A + h[own] * _B)
         _, at, times = np.unique(key, return_inverse=True, return_counts=True)
         hit[x, own] = (times[at] > 1) | (weight[own] > 1)
-        cut = edge[own]
-        if cut.any():
-            e = own[cut]
+        e = own[reach[own] >= LENGTH - x]
+        if len(e):
             whole = _mixed(_mixed(sums[LENGTH - x, place[e]] * _B + h[e]) + np.uint64(x * int(_A) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-            cut_rows += [(meta["uid"][i], int(left[i] - x), int(left[i] - x), w, int(n)) for i, w, n in zip(e.tolist(), whole.tolist(), weight[e].tolist(), strict=True)]
-    rows = []
+            parts.append((e, left[e] - x, left[e] - x, whole, weight[e]))
     step = np.diff(np.vstack([np.zeros((1, count), bool), hit, np.zeros((1, count), bool)]).astype(np.int8), axis=0)
-    for i, (starts, ends) in enumerate(zip((step > 0).T, (step < 0).T, strict=True)):
-        for a, b in zip(np.flatnonzero(starts).tolist(), np.flatnonzero(ends).tolist(), strict=True):
-            rows.append((meta["uid"][i], int(left[i]) - (b - 1), int(left[i]) - a, None, None))
-    return rows + cut_rows
+    (of, start), (_, stop) = np.nonzero((step > 0).T), np.nonzero((step < 0).T)
+    none = np.zeros(len(of), np.int64)
+    parts.append((of, left[of] - (stop - 1), left[of] - start, none, none))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _merged(table_: pa.Table) -> pa.Table:
@@ -382,9 +445,10 @@ def _merged(table_: pa.Table) -> pa.Table:
     meta = np.array([metas[r][i] for r, i in kept], _META)
     meta["weight"] = np.minimum(weight, 2)
     lcp[0] = 0
-    rows = _resolved([runs[r][0][i] for r, i in kept], np.array(lcp, np.int64), meta)
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["uid", "low", "high", "window", "times"])
+    of, low, high, window, times = _resolved([runs[r][0][i] for r, i in kept], np.array(lcp, np.int64), meta)
+    uids = pa.array(meta["uid"].tolist(), pa.binary()).take(pa.array(of))
+    seen = times == 0
+    return pa.table([uids, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(window, mask=seen), pa.array(times.astype(np.int32), mask=seen)], names=["uid", "low", "high", "window", "times"])
 
 
 # ---------------------------------------------------------------- the operator
@@ -401,14 +465,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     places = stored(places.join(copies, "tid").select("tid", F.array_sort("places").alias("places"), "copies"), "places", compression="zstd")
     released(rows.sparkSession)
     # copies of one text beyond the first in a task add nothing; a text that only repeats as a whole is listed too
-    runs = stored(rows.join(places, "tid").select("tid", "text", "places", "copies").mapInArrow(trimmed(_runs), RUNS), "runs", compression="zstd")
+    block = min(BLOCK, max(1, RANGE // 8))
+    runs = stored(rows.join(places, "tid").select("tid", "text", "places", "copies").mapInArrow(trimmed(partial(_runs, block=block)), RUNS), "runs", compression="zstd")
     released(rows.sparkSession)
-    blocks = runs.filter("n IS NOT NULL")
-    total = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
-    ranges = math.ceil(total / RANGE)
-    drawn = sorted(r[0][:SPLITTER_BYTES] for r in blocks.select("first").orderBy(F.xxhash64("first")).limit(DRAWN * ranges).collect())
-    splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)})
-    pieces = blocks.select("first", "n", "lcp", "size", "rest", "meta").mapInArrow(trimmed(_cut(splitters)), PIECES)
+    pieces = ranged(runs.filter("n IS NOT NULL"), RANGE, block, FAN)
     found = stored(pieces.groupBy("range").applyInArrow(_merged, FOUND), "found", compression="zstd")
     cut = found.filter("window IS NOT NULL")
     again = cut.groupBy("window").agg(F.sum("times").alias("all")).filter("all > 1").select("window")
@@ -451,7 +511,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     A null text is empty and stays so; texts under 200 bytes are never
     touched; a text that occurs in two rows repeats itself there and is
     removed whole. Ids may be null or repeat and play no part. An empty table
-    gives no rows. Cuts may fall within a character.
+    gives no rows. Cuts may fall within a character. Texts of any length are
+    scanned whole, by ``STRETCH`` bytes at a time.
     """
     carry = carry or ["doc_id"]
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_files
 from sievelight.llm.common import chunk_encoder, shared_dir, vocabulary
@@ -168,20 +169,20 @@ def test_other_orders_before_texts():
             n = int(rng.integers(1, 200))
             both = some(round(share * n))
             pairs.append([np.unique(np.concatenate([both, some(n - len(both))])) for _ in "ab"])
-    sent = [[[ngram_join.profile(x), *ngram_join.probes(x, classes)] for x in p] for p in pairs]
+    sent = [[ngram_join.probes(x, classes) for x in p] for p in pairs]
     kinds = {"a": pa.int64(), "b": pa.int64(), "xa": pa.list_(pa.binary()), "xb": pa.list_(pa.binary())}
     batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([range(len(pairs)), range(len(pairs)), *zip(*sent, strict=True)], kinds.values(), strict=True)], list(kinds))
-    left = {i for out in ngram_join._intersecting([batch]) for i in out.column(0).to_pylist()}
+    left = {i for out in ngram_join._chosen(ngram_join.prefixes_meet)([batch]) for i in out.column(0).to_pylist()}
     assert {i for i, p in enumerate(pairs) if ngram_join.similar(*p)} <= left and not left & set(range(40))
     for i, (x, y) in enumerate(pairs):
         heads = [[set(ngram_join.ordered(z, classes, k)[0][: ngram_join.probe_length(len(z))].tolist()) for z in (x, y)] for k in (1, 2)]
-        assert (i in left) == (ngram_join.may_meet(*(m[0] for m in sent[i])) and all(a & b for a, b in heads))
+        assert (i in left) == all(a & b for a, b in heads)
 
 
-@pytest.mark.parametrize("per_range", [40_000, 60])
-def test_repeats(docs, rows, monkeypatch, per_range):
+@pytest.mark.parametrize(("per_range", "fan"), [(40_000, 2048), (60, 2048), (60, 3)])
+def test_repeats(docs, rows, monkeypatch, per_range, fan):
     monkeypatch.setattr(suffix_dedup, "RANGE", per_range)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 16)
+    monkeypatch.setattr(suffix_dedup, "FAN", fan)
     texts = [(t or "").encode() for _, t in rows]
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     want = Counter()
@@ -196,6 +197,41 @@ def test_repeats(docs, rows, monkeypatch, per_range):
     assert Counter((r["row"]["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
 
 
+@pytest.mark.parametrize("fan", [2048, 4])
+def test_ranges_of_a_shared_passage(spark, monkeypatch, fan):
+    """Suffixes that share more than half of their bytes still spread over ranges, and their windows are found across the borders."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", 100)
+    monkeypatch.setattr(suffix_dedup, "FAN", fan)
+    rng, sizes, ranged = random.Random(4), [], suffix_dedup.ranged
+
+    def watched(*given):
+        pieces = ranged(*given)
+        sizes.extend(r["n"] for r in pieces.groupBy("range").agg(F.sum(F.length("size") / 2).alias("n")).collect())
+        return pieces
+
+    monkeypatch.setattr(suffix_dedup, "ranged", watched)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    texts = [f"{' '.join(word() for _ in range(30))} {passage} {' '.join(word() for _ in range(30))}" for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    at = {i: t.index(passage) for i, t in enumerate(texts)}
+    got = {r["row"]["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    for i, t in enumerate(texts):
+        kept = bytes(got[i]["kept"]).decode()
+        assert got[i]["n_spans"] == 1 and len(passage) <= got[i]["n_removed"] <= len(passage) + 20 and kept[: at[i] - 12] == t[: at[i] - 12]
+    assert len(sizes) > 10 and max(sizes) <= 200
+
+
+def test_repeats_of_long_texts(spark):
+    """Repeats on both sides of, and across, the borders of the stretches that a long text is scanned by."""
+    rng = np.random.default_rng(3)
+    body = bytes(rng.integers(97, 123, suffix_dedup.STRETCH + 5000).astype(np.uint8)).decode()
+    at = suffix_dedup.STRETCH
+    rows = [(1, body), (2, "A" * 150 + body[at - 300 : at + 300] + "B" * 150), (3, body[at - 1 : at + 199]), (4, body[at : at + 199])]
+    got = {r["row"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(body), 600, 1), 2: (900, 600, 1), 3: (200, 200, 1), 4: (199, 0, 0)}
+
+
 def test_merge_of_runs():
     rng = random.Random(1)
     keys = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) for _ in range(300)})
