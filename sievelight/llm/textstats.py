@@ -68,14 +68,22 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def text_stats(text: bytes) -> TextStats:
-    """All counts of a UTF-8 text; an empty one has zeros."""
+def plain_words(text: bytes) -> Counter:
+    """The words of a text in small ASCII letters, without stops at their ends, and how often each occurs."""
+    found: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        found[w.rstrip(b".,;:!?")] += n
+    return found
+
+
+def text_stats(text: bytes, common_words: dict[bytes, int] = COMMON) -> TextStats:
+    """All counts of a UTF-8 text; an empty one has zeros. ``common`` counts ``common_words`` by their numbers, and last all others."""
     by_byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     classes = np.bincount(_KIND, by_byte, minlength=len(CLASSES) + 1)[: len(CLASSES)]
     words = text.split()
     counts = Counter(words)
-    common = np.zeros(len(COMMON) + 1)
-    for w, n in Counter(text.lower().split()).items():
-        common[COMMON.get(w.rstrip(b".,;:!?"), len(COMMON))] += n
+    common = np.zeros(len(common_words) + 1)
+    for w, n in plain_words(text).items():
+        common[common_words.get(w, len(common_words))] += n
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return TextStats(len(words), int(by_byte[_WORD_BYTE].sum()), int(classes[CLASSES.index("symbol")]), len(lines), len(lines) - len(set(lines)), _repeated(words), len(counts), max(counts.values(), default=0), classes, common)
