@@ -102,14 +102,14 @@ def _training_counts(batches):
 
 
 def learn(docs: DataFrame, most: int = TRAINING) -> Profiles:
-    """Profiles from at most ``most`` training rows of each language (those with the smallest hash of their id), counted on the executors."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select("text", "lang", F.xxhash64("doc_id").alias("at"))
+    """Profiles from at most ``most`` different training rows of each language (those with the smallest hash of id and text), counted on the executors."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select("text", "lang", F.xxhash64("doc_id", "text").alias("at"))
     ids = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("ids"))
     # hashes are even, so about twice what is wanted lies below this bound, and only that meets in one place
     low = rows.select("lang", "at").join(F.broadcast(ids), "lang").filter(F.col("at") / 2.0**64 + 0.5 < (2.0 * most + 100) / F.col("ids"))
     placed = low.select("lang", "at").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
     drawn = placed.filter(F.col("place") <= most).groupBy("lang").agg(F.max("at").alias("last"))
-    sample = rows.join(F.broadcast(drawn), "lang").filter(F.col("at") <= F.col("last")).select("text", "lang")
+    sample = rows.join(F.broadcast(drawn), "lang").filter(F.col("at") <= F.col("last")).dropDuplicates(["lang", "at"]).select("text", "lang")
     counts = sample.mapInArrow(_training_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= RANKS)
     grams: dict[str, list[tuple[int, int]]] = {}
@@ -134,8 +134,11 @@ def identify_language(docs: DataFrame, training: int = TRAINING) -> DataFrame:
 
     ``lang`` serves only to learn, from rows outside the held-out fold. A text
     that is null or has no letter gets ``und`` and score 0, as does every text
-    where nothing could be learnt. A null id is never held out; repeated rows
-    are allowed; other columns are ignored.
+    where nothing could be learnt. A null id is never held out; a row that
+    repeats is learnt from once and predicted as often as it stands there;
+    equally near languages go by name; other columns are ignored. An empty
+    table gives no rows. A text is read whole, with one count for each of its
+    n-grams.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     profiles = learn(rows, training)
