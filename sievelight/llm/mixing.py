@@ -1,8 +1,9 @@
 """Mixing sources to target weights with Sainte-Lague apportionment.
 
 Targets come from the sources' sizes and weights. The mix is made of blocks of
-equal size: the blocks go to sources, and each source's blocks to its shards,
-by highest quotients, so every shard has an integer quota. A shard's documents
+equal size: the blocks go to sources, each source's blocks to groups of its
+shards, and each group's to its shards, by highest quotients, so every shard
+has an integer quota and no step deals to more than a few thousand. A shard's documents
 lie on a line in seeded order; whole passes over the line and then a run of
 blocks from a seeded start, round the end, fill the quota.
 """
@@ -24,7 +25,7 @@ from sievelight.llm.common import BLANKS, spaced_words, stored, table, word_coun
 WEIGHTS = (3, 1, 2)
 #: What sources share, as a multiple of all sizes, and what one source may give, as a multiple of its own.
 SHARE, MOST = 1.5, 2.0
-#: Words in a block, words in a shard (at least), shards of a source (at most), and rows of a frame that may be broadcast.
+#: Words in a block, words in a shard, shards of a group and groups of a source (at most), and rows of a frame that may be broadcast.
 BLOCK, SHARD_WORDS, SHARDS, SMALL = 32, 250_000, 4096, 10_000
 
 
@@ -77,11 +78,10 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return got.tolist()
 
 
-def _shard_quotas(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("shard", ignore_index=True)
-    blocks = -(-rows["shard_size"] // rows["block"])
-    quotas = sainte_lague(rows["shard_size"].tolist(), int(rows["quota"].iloc[0]), (2 * blocks).tolist())
-    return rows.assign(blocks=blocks, shard_quota=quotas)[["rank", "shard", "shard_size", "blocks", "shard_quota"]]
+def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of ``quota`` dealt to ``item`` by size; none gets more than twice the blocks that it has."""
+    rows = rows.sort_values("item", ignore_index=True)
+    return rows.assign(dealt=sainte_lague(rows["size"].tolist(), int(rows["quota"].iloc[0]), (2 * rows["blocks"]).tolist()))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
@@ -95,25 +95,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     turn. A null or blank text has size 0 and is not taken; a row whose id is
     null or repeats is a document like any other. Names of other columns don't
     matter. An empty table gives no rows. The list of sources (with their
-    weights, the configuration of a mix) is held by the driver; shards of one
-    source, at most ``SHARDS``, are apportioned in one task.
+    weights, the configuration of a mix) is held by the driver; shards are
+    apportioned in groups of at most ``SHARDS``. A long document is one row; its words are counted, never listed.
     """
     spark = docs.sparkSession
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")]
-    rows = stored(docs.select(*own, F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"))).alias("mix_at"), *(F.struct(*[F.col(c) for c in carry]).alias("mix_carry") for _ in carry[:1])), "mix")
+    rows = stored(docs.select(*own, F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"))).alias("mix_at"), F.xxhash64(F.col("text").cast("string")).alias("mix_text"), *(F.struct(*[F.col(c) for c in carry]).alias("mix_carry") for _ in carry[:1])), "mix")
     found = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share)
     quotas = sainte_lague(goal, round(sum(goal) / block), [2 * -(-s // block) for s in sizes])
-    plan = [(i, r["source"], s, g, q, max(1, min(SHARDS, s // SHARD_WORDS))) for i, (r, s, g, q) in enumerate(zip(found, sizes, goal, quotas, strict=True))]
+    plan = [(i, r["source"], s, g, q, max(1, min(SHARDS * SHARDS, s // SHARD_WORDS))) for i, (r, s, g, q) in enumerate(zip(found, sizes, goal, quotas, strict=True))]
     types = [("rank", T.LongType()), ("mix_source", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("quota", T.LongType()), ("shards", T.LongType())]
     sources = spark.createDataFrame(plan, T.StructType([T.StructField(n, t) for n, t in types]))
     small = F.broadcast if len(plan) <= SMALL else lambda df: df
     placed = rows.join(small(sources), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("shard", F.pmod("mix_at", "shards"))
-    shards = placed.groupBy("rank", "quota", "shard").agg(F.sum("size").alias("shard_size")).withColumn("block", F.lit(block))
-    quota = shards.groupBy("rank").applyInPandas(_shard_quotas, "rank long, shard long, shard_size long, blocks long, shard_quota long")
-    line = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "mix_at"), "mix_at", "doc_id", "size")
+    shards = placed.groupBy("rank", "quota", "shard").agg(F.sum("size").alias("size")).withColumns({"blocks": F.ceil(F.col("size") / block), "group": F.floor(F.col("shard") / SHARDS)})
+    dealt = "rank long, item long, size long, blocks long, quota long, dealt long"
+    groups = shards.groupBy("rank", "quota", F.col("group").alias("item")).agg(F.sum("size").alias("size"), F.sum("blocks").alias("blocks"))
+    groups = groups.select("rank", "item", "size", "blocks", "quota").groupBy("rank").applyInPandas(_quotas, dealt).select("rank", F.col("item").alias("group"), F.col("dealt").alias("quota"))
+    within = shards.drop("quota").join(groups, ["rank", "group"]).select("rank", F.col("shard").alias("item"), "size", "blocks", "quota", "group")
+    quota = within.groupBy("rank", "group").applyInPandas(_quotas, dealt.replace("quota long", "quota long, group long")).select("rank", F.col("item").alias("shard"), "blocks", F.col("dealt").alias("shard_quota"))
+    line = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "mix_at"), "mix_at", "doc_id", "size", "mix_text")
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(quota, ["rank", "shard"]).withColumn("begin", F.col("end") - F.col("size"))
     passes = F.floor(F.col("shard_quota") / F.greatest("blocks", F.lit(1)))
