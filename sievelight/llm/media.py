@@ -85,6 +85,46 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+#: An index record: where a member begins, its size and checksum, and where its name and comment stand in the index.
+_RECORD = struct.Struct("<QQIQI")
+
+
+def _index_bytes(entries: list[tuple[int, int, int, str, str]]) -> bytes:
+    """The index that lies beside an archive: records in order of offset, names and comments, and the number of records."""
+    texts = [json.dumps(e[3:]).encode() for e in entries]
+    at, records = _RECORD.size * len(entries), []
+    for (offset, size, crc, *_), text in zip(entries, texts, strict=True):
+        records.append(_RECORD.pack(offset, size, crc, at, len(text)))
+        at += len(text)
+    return b"".join(records + texts) + struct.pack("<Q", len(entries))
+
+
+def _indexed(store: fs.FileSystem, path: str, start: int, end: int) -> list[tuple[int, int, int, str, str]]:
+    """The members of an archive that begin in [start, end), by a search in its index; the rest of the index is not read."""
+
+    def read(at: int, size: int) -> bytes:
+        file.seek(at)
+        return file.read(size)
+
+    with store.open_input_file(f"{path}.idx") as file:
+        count = struct.unpack("<Q", read(file.size() - 8, 8))[0]
+
+        def first(least: int) -> int:
+            a, b = 0, count
+            while a < b:
+                m = (a + b) // 2
+                a, b = (m + 1, b) if _RECORD.unpack(read(m * _RECORD.size, _RECORD.size))[0] < least else (a, m)
+            return a
+
+        low, high = first(start), first(end)
+        records = list(_RECORD.iter_unpack(read(low * _RECORD.size, (high - low) * _RECORD.size)))
+        if not records:
+            return []
+        base = records[0][3]
+        texts = read(base, records[-1][3] + records[-1][4] - base)
+        return [(offset, size, crc, *json.loads(texts[at - base : at - base + n])) for offset, size, crc, at, n in records]
+
+
 class Range(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         super().__init__((path, start, end))
@@ -117,17 +157,20 @@ class ArchiveWriter(DataSourceArrowWriter):
     """Takes rows of (member, comment, media); a member name may repeat."""
 
     def __init__(self, options):
-        self.path, self.most = options["path"].rstrip("/"), int(options.get("archiveMb", "256")) << 20
+        self.path, self.most = options["path"].rstrip("/"), int(float(options.get("archiveMb", "256")) * (1 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _open(self.path)
         store.create_dir(root, recursive=True)
-        done, out, archive = [], None, None
+        done, out, archive, entries = [], None, None, []
 
         def close():
             archive.close()
             done.append((name, out.tell()))
             out.close()
+            with store.open_output_stream(f"{root}/{name}.idx") as index:
+                index.write(_index_bytes(entries))
+            entries.clear()
 
         for batch in iterator:
             for member, comment, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -138,6 +181,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 info = zipfile.ZipInfo(member or "")
                 info.comment = (comment or "").encode()
                 archive.writestr(info, media or b"")
+                entries.append((info.header_offset, info.file_size, info.CRC, member or "", comment or ""))
                 if out.tell() > self.most:
                     close()
                     archive = None
@@ -181,7 +225,7 @@ class _Forward(io.RawIOBase):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.span = options["path"].rstrip("/"), int(options.get("rangeMb", "32")) << 20
+        self.path, self.span = options["path"].rstrip("/"), int(float(options.get("rangeMb", "32")) * (1 << 20))
         self.attempts, self.batch = int(options.get("attempts", "3")), int(options.get("batchMb", "8")) << 20
 
     def partitions(self) -> list[Range]:
@@ -198,12 +242,10 @@ class ArchiveReader(DataSourceReader):
             return
         store, root = _open(self.path)
         path = f"{root}/{part.path}"
-        with store.open_input_file(path) as file:
-            with zipfile.ZipFile(file) as archive:
-                members = [(i.header_offset, i.file_size, i.CRC, i.filename, i.comment.decode()) for i in archive.infolist() if part.start <= i.header_offset < part.end]
+        members = _indexed(store, path, part.start, part.end)
         rows, held = [], 0
         with _Again(store, path, self.attempts) as source:
-            for offset, size, crc, name, comment in sorted(members):
+            for offset, size, crc, name, comment in members:
                 rows.append((name, comment, source.member(offset, size, crc)))
                 held += size
                 if held >= self.batch:
@@ -267,8 +309,9 @@ def _imaged(batches):
 def write_media(docs: DataFrame, path: str) -> None:
     """Store each text of ``docs`` (doc_id, text; null as empty) as an image in archives under ``path``.
 
-    Ids may be null or repeat; other columns are ignored; an empty table gives
-    a manifest without archives.
+    Ids may be null or repeat, and equal texts of different rows are stored as
+    often; other columns are ignored; an empty table gives a manifest without
+    archives. A text of any length is one image, held whole by its task.
     """
     docs.sparkSession.dataSource.register(ArchiveSource)
     images = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_imaged, "member string, comment string, media binary")
