@@ -20,8 +20,8 @@ _SUMS = ("p0", "p1", "p2")
 
 
 def _turn_hashes() -> list[Column]:
-    """Three hashes of 40 bits of a turn, its number included: their running sums stay exact for eight million turns."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("turn", "role", "text")]
+    """Three hashes of 40 bits of a turn, its number included, and which of its columns are null: their running sums stay exact for eight million turns."""
+    parts = [x for c in ("turn", "role", "text") for x in (F.col(c), F.col(c).isNull())]
     return [F.xxhash64(F.lit(salt), *parts).bitwiseAND(F.lit((1 << 40) - 1)).alias(name) for salt, name in enumerate(_SUMS)]
 
 
@@ -54,8 +54,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and the conversation as marked-up text, turns in order of turn, role and text."""
-    turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = F.transform("turns", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n")))
+    turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("at"), "role", "text", "turn")
+    shown = lambda c: F.coalesce(c, F.lit(""))
+    marked = F.transform("turns", lambda t: F.concat(F.lit("<|"), shown(t["role"]), F.lit("|>\n"), shown(t["text"]), F.lit("<|end|>\n")))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(marked, "").alias("rendered"))
 
@@ -63,9 +64,10 @@ def render(turns: DataFrame) -> DataFrame:
 def chat_format(conversations: DataFrame) -> DataFrame:
     """Collapse snapshots of ``conversations`` (conv_id, turn, role, text) and render what stays.
 
-    Repeated rows count once. A null turn counts as turn -1, a null role or
-    text is rendered empty (and differs from an empty one in comparison), rows
-    without conv_id form one conversation. Turn numbers are part of a turn.
+    Repeated rows count once. A null turn stands where turn -1 would, a null
+    role or text before an empty one and is rendered empty; in comparison null
+    equals null alone. Rows without conv_id form one conversation. A rendered
+    conversation is one text, however long. Turn numbers are part of a turn.
     Other columns are ignored; an empty table gives no rows.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -79,11 +81,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-convs AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS seq FROM turns GROUP BY conv_id),
+convs AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY coalesce(turn, -1), role NULLS FIRST, text NULLS FIRST) AS seq FROM turns GROUP BY conv_id),
 firsts AS (SELECT min(conv_id) AS conv_id, seq FROM convs GROUP BY seq),
 prefixes AS (SELECT DISTINCT seq[1:k] AS seq FROM (SELECT seq, unnest(range(1, len(seq))) AS k FROM convs)),
 kept AS (SELECT conv_id FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.seq = f.seq))
 SELECT conv_id, count(*) AS n_turns,
-       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY coalesce(turn, -1), role NULLS FIRST, text NULLS FIRST) AS rendered
 FROM turns WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id
 """
