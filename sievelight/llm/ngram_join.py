@@ -433,8 +433,8 @@ def _ended(pairs: DataFrame, of: DataFrame, column: str, crowded: DataFrame | No
 
 
 def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One text of each class in pairs."""
-    reps = classes.join(_members(pairs), "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id"))
+    """One text of each class in pairs. These are written first: where their table is small, as its size tells, no text is shuffled."""
+    reps = stored(classes.join(_members(pairs), "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id")), "reps")
     return docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
 
 
@@ -569,9 +569,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = roots.select(F.col("node").alias("cls"), "root").union(roots.select("root", "root").distinct()).join(classes.select("cls", "least"), "cls")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = _dealt(linked.select("cls", "root"), names, _crowded(roots, "root"), "root", "cls").select("cls", "component_id")
-    own = classes.select("cls", "least").join(of, "cls", "left").select(F.col("cls").alias("key"), F.coalesce("component_id", "least").alias("component_id"))
-    named_rows = members.join(own, F.col("cls") == F.col("key"), "left")
-    return named_rows.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
+    own = classes.select("cls", "least").join(of, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    # copies of one text are dealt over tasks, too
+    worded = members.filter("cls IS NOT NULL")
+    named_rows = _dealt(worded, own, _crowded(worded, "cls"), "cls", "doc_id").select("doc_id", "n_shingles", "component_id", "text_key")
+    return named_rows.union(members.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
 
 
 def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
