@@ -5,6 +5,15 @@ the non-negative unbiased risk of Kiryo et al. (2017): with class prior c and
 logistic loss l, c E_P[l(f, 1)] + max(0, E_U[l(f, 0)] - c E_P[l(f, 0)]). Where
 the second part turns negative on a batch the step goes against it, which
 keeps the network from memorising the positives.
+
+The class prior is estimated from positives and unlabelled text, too: a
+network that tells the one from the other orders all rows, and above any score
+the unlabelled rows hold at least the prior's share of what the positives
+hold there, so the least such ratio bounds the prior, closely where the
+highest scores are good text alone.
+
+The fit begins on bounded samples. Scaling, prior and the last steps, along
+the gradient of the whole risk, take all unlabelled rows.
 """
 
 from __future__ import annotations
@@ -17,8 +26,10 @@ from pyspark.sql import functions as F
 from sievelight.llm.common import held_out, stored, table, trimmed, utf8
 from sievelight.llm.textstats import CLASSES, COMMON, text_stats
 
-#: Rows of positives and of unlabelled text that the fit may hold, at most; the figures of all other rows are only scored.
-POSITIVES, UNLABELLED = 20_000, 40_000
+#: Labelled positives that the fit may hold, at most; unlabelled rows that it begins with, and its last steps, over all of them.
+POSITIVES, UNLABELLED, WHOLE_STEPS = 20_000, 40_000, 4
+#: Bins of a score, and the share of positives that a tail must hold to bound the prior.
+BINS, LEAST_TAIL = 1000, 0.2
 FOLDS, THRESHOLD = 5, 0.3
 FEATURES = (*CLASSES, "log_words", "word_length", "distinct", "top_word", "repeated", "dup_lines", "line_words", "common", "has_words")
 
@@ -58,27 +69,56 @@ class Network:
         back = d[:, None] * self.w[2] * (1 - h * h)
         return [x.T @ back, back.sum(axis=0), h.T @ d, np.array([d.sum()])]
 
+    def gradients(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], float, float]:
+        """Gradients of the mean losses of the (scaled) rows as label 1 and as label 0, and these losses."""
+        h, f = self._forward(x)
+        s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        return self._gradient(x, h, (s - 1) / len(x)), self._gradient(x, h, s / len(x)), float(np.logaddexp(0, -f).mean()), float(np.logaddexp(0, f).mean())
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, batch: int = 512, rate: float = 0.005, decay: float = 1e-4, seed: int = 6) -> Network:
-        rng = np.random.default_rng(seed)
-        self.mean, self.scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-        p, u = ((x - self.mean) / self.scale for x in (positive, unlabelled))
-        first, second = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
+        """Adam over batches of (scaled) rows."""
+        rng, adam = np.random.default_rng(seed), Adam(self.w, decay)
         for t in range(1, steps + 1):
-            xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-            (hp, fp), (hu, fu) = self._forward(xp), self._forward(xu)
-            sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-            negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            up, down_p, down_u = prior * (sp - 1) / batch, -prior * sp / batch, su / batch
-            sign = 1.0 if negative >= 0 else -1.0
-            dp, du = (up + down_p if negative >= 0 else sign * down_p), sign * down_u
-            grad = [a + b for a, b in zip(self._gradient(xp, hp, dp), self._gradient(xu, hu, du), strict=True)]
-            for i, g in enumerate(grad):
-                g = g + decay * self.w[i] * (i in (0, 2))
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                self.w[i] = self.w[i] - rate * (1 - t / (steps + 1)) * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
+            up, down, _, as_zero = self.gradients(positive[rng.integers(0, len(positive), batch)])
+            _, other, _, loss = self.gradients(unlabelled[rng.integers(0, len(unlabelled), batch)])
+            adam.step(risk_gradient(up, down, as_zero, other, loss, prior), rate * (1 - t / (steps + 1)))
         return self
 
+    def fit_apart(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, batch: int = 512, rate: float = 0.005, seed: int = 7) -> Network:
+        """Tells positives from unlabelled rows, as many of each in a batch."""
+        rng, adam = np.random.default_rng(seed), Adam(self.w, 1e-3)
+        for t in range(1, steps + 1):
+            up = self.gradients(positive[rng.integers(0, len(positive), batch)])[0]
+            down = self.gradients(unlabelled[rng.integers(0, len(unlabelled), batch)])[1]
+            adam.step([a + b for a, b in zip(up, down, strict=True)], rate * (1 - t / (steps + 1)))
+        return self
+
+
+def risk_gradient(up: list, down: list, as_zero: float, other: list, loss: float, prior: float) -> list[np.ndarray]:
+    """The step of the non-negative risk: ``up`` and ``down`` of the positives as 1 and as 0, ``other`` of the unlabelled rows as 0."""
+    if loss - prior * as_zero >= 0:
+        return [prior * a - prior * b + c for a, b, c in zip(up, down, other, strict=True)]
+    return [prior * b - c for b, c in zip(down, other, strict=True)]
+
+
+class Adam:
+    """Steps on weights in place, with decay of the matrices among them."""
+
+    def __init__(self, weights: list[np.ndarray], decay: float):
+        self.w, self.decay, self.t = weights, decay, 0
+        self.first, self.second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+
+    def step(self, gradient: list[np.ndarray], rate: float) -> None:
+        self.t += 1
+        for i, g in enumerate(gradient):
+            g = g + self.decay * self.w[i] * (i in (0, 2))
+            self.first[i] = 0.9 * self.first[i] + 0.1 * g
+            self.second[i] = 0.999 * self.second[i] + 0.001 * g * g
+            self.w[i] = self.w[i] - rate * (self.first[i] / (1 - 0.9**self.t)) / (np.sqrt(self.second[i] / (1 - 0.999**self.t)) + 1e-8)
+
 
 def _sampled(df: DataFrame, most: int) -> np.ndarray:
     """At most ``most`` rows of features, the same in every run, whatever the order of rows."""
@@ -87,22 +127,102 @@ def _sampled(df: DataFrame, most: int) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(-1, len(FEATURES))
 
 
+def _summed(make, size: int):
+    """One row a task: the sum of what ``make`` gives for its rows of features, as ``size`` doubles."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += make(np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, -1))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def _over_all(rows: DataFrame, make, size: int) -> np.ndarray:
+    """A sum over all rows; a few numbers a task reach the driver, which adds them in order of size, so that the order of tasks plays no part."""
+    total, merge = np.zeros(size), []
+    for r in rows.select("features").mapInArrow(_summed(make, size), "sums binary").toLocalIterator():
+        merge.append(np.frombuffer(r["sums"]))
+        if len(merge) == 256:
+            merge = [np.sort(np.array(merge), axis=0).sum(axis=0)]
+    return total + np.sort(np.array(merge), axis=0).sum(axis=0) if merge else total
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = LEAST_TAIL) -> float:
+    """The prior's estimate from how many positives and unlabelled rows fall to each bin of a score (lowest first).
+
+    Above any score the unlabelled share over the positive share is the prior
+    or more. Each ratio is raised by what chance may have taken from it, and
+    the least counts, of tails with a share of ``least`` of the positives.
+    """
+    tail = lambda c: np.cumsum(c[::-1])[::-1] / max(c.sum(), 1)
+    p, u = tail(positive), tail(unlabelled)
+    slack = lambda n: np.sqrt(np.log(40.0) / (2 * max(n, 1)))
+    keep = p >= least
+    ratio = u[keep] / p[keep]
+    bound = ratio + (slack(unlabelled.sum()) + ratio * slack(positive.sum())) / p[keep]
+    best = int(np.argmin(bound))
+    return float(np.clip(ratio[best], 0.01, 0.99))
+
+
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum((scores * BINS).astype(np.int64), BINS - 1), minlength=BINS).astype(np.float64)
+
+
 def train(featured: DataFrame, labels: DataFrame, folds: int = FOLDS, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | float:
     """The network, or a constant score where there is nothing to learn from.
 
-    The class prior is the share of label 1 among the training labels. Label
-    0 serves for that alone.
+    Of the labels only the rows of label 1 are used; label 0 says no more than
+    that there are bad texts. ``prior`` on the network is the estimate.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), folds, 0))
     counts = own.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
     if not counts["n"] or not counts["good"] or counts["good"] == counts["n"]:
         return 1.0 if not counts["n"] or counts["good"] else 0.0
     good = own.filter("quality = 1").select("doc_id").distinct()
-    p = _sampled(featured.join(good, "doc_id", "left_semi"), positives)
-    u = _sampled(featured.filter(~held_out(F.col("doc_id"), folds, 0)), unlabelled)
+    rest = featured.filter(~held_out(F.col("doc_id"), folds, 0))
+    p, u = _sampled(featured.join(good, "doc_id", "left_semi"), positives), _sampled(rest, unlabelled)
     if not len(p) or not len(u):
         return 1.0
-    return Network(len(FEATURES)).fit(p, u, counts["good"] / counts["n"])
+    width = len(FEATURES)
+    sums = _over_all(rest, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]), 2 * width + 1)
+    mean = sums[1 : width + 1] / sums[0]
+    scale = np.sqrt(np.maximum(sums[width + 1 :] / sums[0] - mean * mean, 0)) + 1e-3
+
+    def new(seed: int) -> Network:
+        made = Network(width, seed=seed)
+        made.mean, made.scale = mean, scale
+        return made
+
+    # the prior is read from positives that the network telling them apart has not seen
+    probe = new(4)
+    probe.fit_apart(probe.scaled(p[::2]), probe.scaled(u))
+    prior = estimated_prior(_bins(probe.score(p[1::2] if len(p) > 1 else p)), _over_all(rest, lambda x: _bins(probe.score(x)), BINS))
+
+    model = new(5)
+    model.prior = prior
+    p, u = model.scaled(p), model.scaled(u)
+    model.fit(p, u, prior)
+    shapes = [w.shape for w in model.w]
+    adam = Adam(model.w, 1e-4)
+    for _ in range(WHOLE_STEPS):
+        frozen = model
+
+        def of_rows(x: np.ndarray) -> np.ndarray:
+            _, down, _, loss = frozen.gradients(frozen.scaled(x))
+            return len(x) * np.concatenate([[1.0, loss], *(g.ravel() for g in down)])
+
+        found = _over_all(rest, of_rows, 2 + sum(w.size for w in model.w))
+        flat, other = found[2:] / found[0], []
+        for shape in shapes:
+            size = int(np.prod(shape))
+            other.append(flat[:size].reshape(shape))
+            flat = flat[size:]
+        up, down, _, as_zero = model.gradients(p)
+        adam.step(risk_gradient(up, down, as_zero, other, found[1] / found[0], prior), 5e-4)
+    return model
 
 
 def _scored(model: Network | float):
@@ -110,7 +230,7 @@ def _scored(model: Network | float):
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                s = model.score(x) if isinstance(model, Network) else np.full(len(x), model)
+                s = np.round(model.score(x), 9) if isinstance(model, Network) else np.full(len(x), model)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -126,29 +246,41 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Dat
     Null and empty texts are scored like any other. A null id is never held
     out and has no label; repeated rows and labels are allowed (labels that
     are not 0 or 1 are ignored). Other columns are ignored. Without labels of
-    both kinds the score is 1 (0 where all labels are 0).
+    both kinds the score is 1 (0 where all labels are 0). An empty table gives
+    no rows; a text of any length is read whole, once.
     """
     featured = stored(featurize(docs), "quality")
     model = train(featured, labels, folds)
     return featured.select("doc_id", "features", held_out(F.col("doc_id"), folds, 0).alias("held_out")).mapInArrow(trimmed(_scored(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _passing(model: Network | float, column: int):
+def _passing(model: Network | float):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                x = np.array([features(t) for t in utf8(part.column(column))], np.float32).astype(np.float64)
-                s = model.score(x) if isinstance(model, Network) else np.full(len(x), model)
-                yield part.filter(pa.array(s >= THRESHOLD))
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                s = np.round(model.score(x), 9) if isinstance(model, Network) else np.full(len(x), model)
+                yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(s >= THRESHOLD))
 
     return run
 
 
+def _featured_rows(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            rows = np.array([features(t) for t in utf8(part.column(2))], np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "row", "features"])
+
+
 def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """The rows of ``docs``, whole, that the classifier doesn't reject."""
-    model = train(stored(featurize(docs), "quality"), labels, folds)
-    return docs.mapInArrow(trimmed(_passing(model, docs.columns.index("text"))), docs.schema)
+    """The rows of ``docs``, whole, that the classifier doesn't reject; features are computed once and written beside the rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    featured = stored(rows.mapInArrow(trimmed(_featured_rows), f"doc_id long, row {kind}, features array<float>"), "quality", compression="zstd")
+    model = train(featured.select("doc_id", "features"), labels, folds)
+    return featured.select("row", "features").mapInArrow(trimmed(_passing(model)), f"row {kind}").select("row.*")
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
