@@ -59,6 +59,9 @@ def test_token_files(spark, docs, rows):
         at += r["n_tokens"]
     assert len(got) == len(rows) and [r["doc_id"] for r in got][1:] == sorted(d for d, _ in rows if d is not None)
     assert token_files.read_tokens(spark, path).select("n_tokens").count() == len(rows)
+    library = chunk_encoder(vocabulary()).tokenizer
+    want = Counter((d, tuple([*library.encode(t or "", add_special_tokens=False).ids, 2])) for d, t in rows)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
 
 
 def test_media_round_trip(spark, docs, rows):
@@ -73,6 +76,42 @@ def test_media_round_trip(spark, docs, rows):
     assert got == want
 
 
+def test_media_ranges_and_retries(spark, docs, rows, monkeypatch):
+    """Every member is read once, whatever the ranges; one that fails is read again by itself, one that stays damaged stops the read."""
+    path = shared_dir(spark, "t").removeprefix("file://")
+    docs.sparkSession.dataSource.register(media.ArchiveSource)
+    images = docs.select("doc_id", "text").mapInArrow(media._imaged, "member string, comment string, media binary")
+    images.write.format("sievelight_archive").option("archiveMb", "0.02").mode("append").save(path)
+    reader = media.ArchiveReader({"path": path, "rangeMb": "0.004"})
+    parts = reader.partitions()
+    real, reads = media._open, Counter()
+
+    class Flaky:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def open_input_file(self, at):
+            reads[at] += 1
+            if not at.endswith(".idx") and reads[at] % 3 == 1:
+                raise OSError("lost")
+            return self.store.open_input_file(at)
+
+    monkeypatch.setattr(media, "_open", lambda at: (lambda store, root: (Flaky(store), root))(*real(at)))
+    monkeypatch.setattr(media.time, "sleep", lambda _: None)
+    got = Counter(bytes(m) for p in parts for b in reader.read(p) for m in b.column(2).to_pylist())
+    want = Counter(media.png_encode(media.padded((t or "").encode())) for _, t in rows)
+    assert got == want and len(parts) > 4 and len({p.path for p in parts}) > 1
+    target = next(p for p in parts if list(reader.read(p)))
+    with open(f"{path}/{target.path}", "r+b") as f:
+        f.seek(60)
+        f.write(b"\x00" * 40)
+    with pytest.raises(OSError):
+        list(reader.read(media.Range(target.path, 0, 1)))
+
+
 def _grouped(rows):
     """doc_id, n_shingles and component_id of all rows, by comparing all of them."""
     sets = []
@@ -259,6 +298,68 @@ def test_mixing(docs, rows):
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2] and mixing.sainte_lague([0, 1], 3, [5, 2]) == [0, 2]
 
 
+def _highest_quotients(votes, seats, most):
+    got = [0] * len(votes)
+    for _ in range(min(seats, sum(m for v, m in zip(votes, most, strict=True) if v > 0))):
+        i = max((i for i in range(len(votes)) if votes[i] > 0 and got[i] < most[i]), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
+        got[i] += 1
+    return got
+
+
+def test_quotas_by_hand():
+    rng = random.Random(8)
+    for _ in range(200):
+        votes = [rng.choice((0, rng.randint(1, 50), rng.random() * 9)) for _ in range(rng.randint(1, 8))]
+        seats, most = rng.randint(0, 60), [rng.randint(0, 20) for _ in votes]
+        assert mixing.sainte_lague(votes, seats, most) == _highest_quotients(votes, seats, most)
+
+
+@pytest.mark.parametrize("shards", [4096, 3])
+def test_mix_by_hand(spark, monkeypatch, shards):
+    """Targets, quotas of sources, groups and shards, and the words of the blocks taken, worked out one by one."""
+    for name, value in (("SHARD_WORDS", 60), ("SHARDS", shards)):
+        monkeypatch.setattr(mixing, name, value)
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join(f"w{i}x{j}" for j in range(rng.choice((0, 1, 5, 40, 90)))), rng.choice(("a", "b", None))) for i in range(60)]
+    rows.append(rows[3])
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    hashes = {(r["doc_id"], r["text"]): r for r in table.selectExpr("doc_id", "text", "xxhash64(7, coalesce(cast(doc_id AS string), text)) AS at", "xxhash64(text) AS tie").collect()}
+    line = {r["at"]: r["h"] for r in spark.createDataFrame([(h["at"],) for h in hashes.values()], "at long").selectExpr("at", "xxhash64(8, at) AS h").collect()}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == k) for k in sources]
+    weights, left, goal = [mixing.WEIGHTS[i % 3] for i in range(3)], 1.5 * sum(sizes), [None] * 3
+    while None in goal:
+        open_ = [i for i, g in enumerate(goal) if g is None]
+        over = [i for i in open_ if left * weights[i] / sum(weights[j] for j in open_) >= 2 * sizes[i]]
+        for i in over or open_:
+            goal[i] = 2.0 * sizes[i] if over else left * weights[i] / sum(weights[j] for j in open_)
+        left -= sum(goal[i] for i in over)
+    up = lambda n: -(-n // mixing.BLOCK)
+    quota = _highest_quotients(goal, round(sum(goal) / mixing.BLOCK), [2 * up(s) for s in sizes])
+    want = Counter()
+    for rank, k in enumerate(sources):
+        count, by = max(1, min(shards**2, sizes[rank] // 60)), defaultdict(list)
+        for d, t, s in rows:
+            if s == k:
+                by[hashes[d, t]["at"] % count].append((d, t))
+        size = {x: sum(len(t.split()) for _, t in own) for x, own in by.items()}
+        groups = sorted({x // shards for x in by})
+        dealt = _highest_quotients([sum(size[x] for x in by if x // shards == g) for g in groups], quota[rank], [2 * sum(up(size[x]) for x in by if x // shards == g) for g in groups])
+        for g, n in zip(groups, dealt, strict=True):
+            own = sorted(x for x in by if x // shards == g)
+            for x, q in zip(own, _highest_quotients([size[x] for x in own], n, [2 * up(size[x]) for x in own]), strict=True):
+                blocks = up(size[x])
+                first = spark.sql(f"SELECT pmod(xxhash64(9, {rank}L, {x}L), {max(blocks, 1)}L)").first()[0]
+                taken = Counter((first + i) % max(blocks, 1) for i in range(q))
+                at = 0
+                ordered = sorted(by[x], key=lambda r: (line[hashes[r]["at"]], hashes[r]["at"], r[0] is not None, r[0] or 0, len(r[1].split()), hashes[r]["tie"]))
+                for d, t in ordered:
+                    n_words = len(t.split())
+                    want[d, k, n_words, sizes[rank], round(goal[rank], 6), sum(taken[(at + i) // mixing.BLOCK] for i in range(n_words))] += 1
+                    at += n_words
+    assert Counter((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.mix(table).collect()) == want
+
+
 def test_mixed_cuts_the_blocks(spark):
     """Runs of blocks come out as they stand in the text, wherever in it they begin."""
     gaps, n, block = (" ", "\n", " \t", "\r\n  "), 100, mixing.BLOCK
@@ -326,6 +427,82 @@ def test_rules_counts(docs, rows):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+def test_rules_by_hand(spark):
+    """Every column of the verdict on the smallest test table, from counts, shares and distances of single texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(-1, None, "en"), (-2, "", None), (-3, "q " * 80, "xx"), (-4, "#$ % & | <b> *", "en"), (-5, "one\none\n \n \ntwo", None), (-6, "k7# " * 30 + "zq9 " * 30, "en"), (-6, "and so", "en")], "doc_id long, text string, lang string"))
+    rows, f = [tuple(r) for r in docs.collect()], {}
+    plain = lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w).rstrip(b".,;:!?")
+    kinds = [(b"\n", "newline"), (b" \t\r\x0b\x0c", "blank"), (b".,;:", "stop"), (b"!?", "exclamation"), (b"\"'()-", "quote"), (b"#*$%&|<>", "symbol")]
+
+    def kind(c):
+        for chars, name in kinds:
+            if c in chars:
+                return name
+        return "lower" if 97 <= c <= 122 else "upper" if 65 <= c <= 90 else "digit" if 48 <= c <= 57 else None if 128 <= c < 192 else "wide" if c >= 192 else "punctuation" if 33 <= c <= 126 else "control"
+
+    for i, (_, t, lang) in enumerate(rows):
+        b = (t or "").encode()
+        w = b.split()
+        counts = Counter(kind(c) for c in b)
+        f[i] = (lang, Counter(map(plain, w)), len(w), [counts[k] for k in quality_rules.CLASSES])
+    langs = sorted({x[0] for x in f.values() if x[0] is not None and sum(1 for y in f.values() if y[0] == x[0] and y[2] >= 50) >= quality_rules.REFERENCE_TEXTS})
+    assert "en" in langs and "xx" not in langs
+    common = {}
+    for lang in langs:
+        df = Counter(w for x in f.values() if x[0] == lang and x[2] >= 50 for w in x[1] if w and len(w) <= quality_rules.WORD_BYTES)
+        common[lang] = sorted(df, key=lambda w: (-df[w], w))[: quality_rules.COMMON_WORDS]
+    part = lambda x: [v / max(sum(x), 1) for v in x]
+    words = lambda x, lang: (lambda own: part([*own, x[2] - sum(own)]))([x[1][w] for w in common[lang]])
+
+    def far(p, q):
+        h = lambda a, b: sum(x * np.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x > 0)
+        return float(np.sqrt(max((h(p, q) + h(q, p)) / 2, 0)))
+
+    mean = lambda of: part(np.sum([[round(1e6 * v) for v in x] for x in of], axis=0).tolist())
+
+    def fit(x, refs):
+        by = {k: far(words(x, k), refs[k][1]) for k in langs}
+        best = min(langs, key=lambda k: (by[k], k))
+        return best, by[best], far(part(x[3]), refs[best][0])
+
+    def made(most, before):
+        out = {}
+        for k in langs:
+            own = [x for x in f.values() if x[0] == k and x[2] >= 50 and (most is None or (lambda b, _, c: c <= most[b])(*fit(x, before)))]
+            out[k] = (mean([part(x[3]) for x in own]), mean([words(x, k) for x in own]))
+        return out
+
+    def medians(refs):
+        by = defaultdict(list)
+        for x in f.values():
+            if x[2] >= 50:
+                best, _, char = fit(x, refs)
+                by[best].append(min(int(char * quality_rules.BINS), quality_rules.BINS - 1))
+        return {k: (sorted(v)[(len(v) + 1) // 2 - 1] + 1) / quality_rules.BINS for k, v in by.items()}
+
+    first = made(None, None)
+    last = made(medians(first), first)
+    middle = medians(last)
+    want = Counter()
+    for i, (d, t, lang) in enumerate(rows):
+        x, text = f[i], t or ""
+        b = text.encode().split()
+        tri = Counter(zip(b, b[1:], b[2:]))
+        hit = {i + k for i in range(len(b) - 2) if tri[tuple(b[i : i + 3])] > 1 for k in range(3)}
+        lines = [y for y in text.split("\n") if y.encode().strip()]
+        failed = len(b) < 50 or 100 * len(hit) > 50 * len(b)
+        odd = False
+        if lang is None or lang in langs:
+            best, word, char = fit(x, last)
+            none = far([0] * len(common[best]) + [1], last[best][1])
+            odd = (word > quality_rules.WORD_PART * none and len(b) >= 50) or (char > max(quality_rules.CLASS_DISTANCE, quality_rules.CLASS_SPREAD * middle[best]) and sum(x[3]) >= 200)
+        want[d, len(b), sum(len(y.decode()) for y in b), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed, not failed and not odd] += 1
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    got = Counter(tuple(r[c] for c in names) for r in quality_rules.quality_rules(docs).collect())
+    assert got == want and 0 < sum(n for r, n in got.items() if r[-1]) < len(rows)
+
+
 def test_rules_rare_language(spark):
     """Neither a small share of the words nor a language without a reference makes a clean text fail."""
     d = "/root/testdata/sf0.01"
@@ -344,6 +521,42 @@ def test_rules_rare_language(spark):
     assert sum(got[i]["kept"] for i, _, _ in rare) > 0.9 * len(rare)
 
 
+def test_risk_gradient_is_the_risk_s():
+    """The network's step against differences of the non-negative risk, on both sides of its bend."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    for prior, shift in ((0.3, 0.0), (0.9, -3.0)):
+        model = quality_model.Network(5, hidden=4, seed=2)
+        model.w[3] = model.w[3] + shift
+
+        def parts():
+            f, g = model._forward(p)[1], model._forward(u)[1]
+            return prior * np.logaddexp(0, -f).mean(), np.logaddexp(0, g).mean() - prior * np.logaddexp(0, f).mean()
+
+        up, down, _, as_zero = model.gradients(p)
+        _, other, _, loss = model.gradients(u)
+        got = quality_model.risk_gradient(up, down, as_zero, other, loss, prior)
+        falls = parts()[1] < 0
+        for w, g in zip(model.w, got, strict=True):
+            for i in range(w.size):
+                flat, keep = w.ravel(), w.ravel()[i]
+                flat[i] = keep + 1e-6
+                above = parts()
+                flat[i] = keep - 1e-6
+                below = parts()
+                flat[i] = keep
+                rises = [(a - b) / 2e-6 for a, b in zip(above, below, strict=True)]
+                assert g.ravel()[i] == pytest.approx(-rises[1] if falls else sum(rises), abs=1e-5)
+
+
+def test_estimated_prior():
+    rng = np.random.default_rng(2)
+    for prior in (0.2, 0.5, 0.9):
+        good, mixed_ = rng.beta(6, 2, 20_000), np.concatenate([rng.beta(6, 2, int(40_000 * prior)), rng.beta(1, 6, int(40_000 * (1 - prior)))])
+        found = quality_model.estimated_prior(quality_model._bins(good), quality_model._bins(mixed_))
+        assert abs(found - prior) < 0.05
+
+
 def test_learnt_models(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -353,6 +566,52 @@ def test_learnt_models(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in lang]) > 0.98
 
 
+def test_languages_by_hand(spark):
+    """Profiles, distances and predictions from n-grams counted one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(90)
+    docs = docs.union(spark.createDataFrame([(-1, None, "en"), (-2, "123 ...", "de"), (-3, "Größe ÉTÉ x²", None), (-4, "", "fr"), (None, "the same", "en"), (None, "the same", "en")], "doc_id long, text string, lang string"))
+    rows, mask = [tuple(r) for r in docs.collect()], (1 << 64) - 1
+
+    def hashed(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & mask
+        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & mask
+        return (h - (1 << 64) if h >> 63 else h) & ~0xFFFF
+
+    def grams(text):
+        counts, runs, run = Counter(), [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalnum() and not c.isdecimal():
+                run += c
+            else:
+                runs += [run] if any(x.isalpha() for x in run) else []
+                run = ""
+        for w in runs:
+            marked = f"\x02{w}\x03"
+            for n in range(1, min(language_id.LONGEST, len(marked)) + 1):
+                for i in range(len(marked) - n + 1):
+                    if n > 1 or 0 < i < len(marked) - 1:
+                        counts[hashed(marked[i : i + n])] += 1
+        return counts
+
+    best = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language_id.RANKS]]
+    learnt = defaultdict(Counter)
+    for d, t, lang in set(rows):
+        if lang is not None and t is not None and (d is None or zlib.crc32(str(d).encode()) % 4 != 2):
+            learnt[lang] += grams(t)
+    profiles = {k: best(c) for k, c in learnt.items() if c}
+    want = Counter()
+    for d, t, _ in rows:
+        own = best(grams(t))
+        far = {k: np.mean([abs(p.index(g) - i) if g in p else language_id.RANKS for i, g in enumerate(own)]) / language_id.RANKS for k, p in profiles.items()} if own else {}
+        pred = min(far, key=lambda k: (far[k], k)) if far else "und"
+        score = 1 / sum(np.exp(-30 * (x - far[pred])) for x in far.values()) if far else 0.0
+        want[d, d is not None and zlib.crc32(str(d).encode()) % 4 == 2, pred, round(float(score), 6)] += 1
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language_id.identify_language(docs).collect())
+    assert got == want
+
+
 def test_rare_languages_are_learnt(spark):
     texts = [(i, "the house and the garden of the king", "en") for i in range(600)] + [(1000 + i, "der hund und die katze sind im haus", "de") for i in range(8)] + [(None, "la maison est dans le jardin", "fr")]
     table = spark.createDataFrame(texts, "doc_id long, text string, lang string")
