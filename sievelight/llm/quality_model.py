@@ -9,8 +9,10 @@ keeps the network from memorising the positives.
 The class prior is estimated from positives and unlabelled text, too: a
 network that tells the one from the other orders all rows, and above any score
 the unlabelled rows hold at least the prior's share of what the positives
-hold there, so the least such ratio bounds the prior, closely where the
-highest scores are good text alone.
+hold there, so the least such ratio bounds the prior, closely where the highest
+scores are good text alone. Fits with that prior order the rows better, and
+their bounds are closer. The last fit's output becomes a score by the same
+counts: the prior times the positives' density over that of all rows.
 
 The fit begins on bounded samples. Scaling, prior and the last steps, along
 the gradient of the whole risk, take all unlabelled rows.
@@ -29,7 +31,11 @@ from sievelight.llm.textstats import CLASSES, COMMON, text_stats
 #: Labelled positives that the fit may hold, at most; unlabelled rows that it begins with, and its last steps, over all of them.
 POSITIVES, UNLABELLED, WHOLE_STEPS = 20_000, 40_000, 4
 #: Bins of a score, and the share of positives that a tail must hold to bound the prior.
-BINS, LEAST_TAIL = 1000, 0.2
+BINS, LEAST_TAIL = 1000, 0.5
+#: Largest output of the network that is told from others.
+REACH = 15.0
+#: Further estimates of the prior, each from a fit with the one before.
+PRIOR_ROUNDS = 2
 FOLDS, THRESHOLD = 5, 0.3
 FEATURES = (*CLASSES, "log_words", "word_length", "distinct", "top_word", "repeated", "dup_lines", "line_words", "common", "has_words")
 
@@ -55,15 +61,22 @@ class Network:
 
     def __init__(self, inputs: int, hidden: int = 24, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = np.zeros(inputs), np.ones(inputs)
+        self.mean, self.scale, self.knots = np.zeros(inputs), np.ones(inputs), None
         self.w = [rng.normal(0, inputs**-0.5, (inputs, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
 
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(x @ self.w[0] + self.w[1])
         return h, h @ self.w[2] + self.w[3][0]
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The network's output for rows as they are, within ``REACH`` on either side."""
+        return np.clip(self._forward((x - self.mean) / self.scale)[1], -REACH, REACH)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._forward((x - self.mean) / self.scale)[1], -30, 30)))
+        """The share of good text among rows like these: the network's own until it is calibrated, which leaves their order as it is."""
+        f = self.raw(x)
+        own = 1 / (1 + np.exp(-f))
+        return own if self.knots is None else 0.999 * np.interp(f, *self.knots) + 0.001 * own
 
     def _gradient(self, x: np.ndarray, h: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
         back = d[:, None] * self.w[2] * (1 - h * h)
@@ -154,28 +167,65 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     """The prior's estimate from how many positives and unlabelled rows fall to each bin of a score (lowest first).
 
     Above any score the unlabelled share over the positive share is the prior
-    or more. Each ratio is raised by what chance may have taken from it, and
-    the least counts, of tails with a share of ``least`` of the positives.
+    or more, so the least ratio counts, of tails with a share of ``least`` of
+    the positives or more. What chance takes from it in small samples makes the
+    estimate low rather than high, which rejects too much rather than nothing.
     """
     tail = lambda c: np.cumsum(c[::-1])[::-1] / max(c.sum(), 1)
     p, u = tail(positive), tail(unlabelled)
-    slack = lambda n: np.sqrt(np.log(40.0) / (2 * max(n, 1)))
     keep = p >= least
-    ratio = u[keep] / p[keep]
-    bound = ratio + (slack(unlabelled.sum()) + ratio * slack(positive.sum())) / p[keep]
-    best = int(np.argmin(bound))
-    return float(np.clip(ratio[best], 0.01, 0.99))
+    return float(np.clip((u[keep] / p[keep]).min(), 0.01, 0.99))
+
+
+def _bins(outputs: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(((outputs + REACH) / (2 * REACH) * BINS).astype(np.int64), BINS - 1), minlength=BINS).astype(np.float64)
+
+
+def posterior(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs and the share of good text at them, rising: the prior times the positives' density over the unlabelled rows', pooled where it would fall."""
+    at = (np.arange(BINS) + 0.5) / BINS * 2 * REACH - REACH
+    blocks: list[list[float]] = []
+    for x, p, u in zip(at, positive / max(positive.sum(), 1), unlabelled / max(unlabelled.sum(), 1), strict=True):
+        if p == 0 and u == 0:
+            continue
+        blocks.append([p, u, x, x])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            p, u, _, end = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + p, blocks[-1][1] + u, blocks[-1][2], end]
+    xs = np.array([x for b in blocks for x in b[2:]])
+    ys = np.array([min(prior * p / u, 1.0) if u else 1.0 for p, u, *_ in blocks]).repeat(2)
+    return xs, ys
+
+
+class Pair:
+    """Two networks, each fitted to half of the positives and calibrated by the other half; the score is their mean."""
+
+    def __init__(self, models: list[Network], prior: float):
+        self.models, self.prior = models, prior
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.round(sum(m.score(x) for m in self.models) / len(self.models), 9)
+
+
+def _losses(model: Network):
+    """The rows' number, their losses as label 0 and the gradient of these, as sums."""
+
+    def of_rows(x: np.ndarray) -> np.ndarray:
+        _, down, _, loss = model.gradients(model.scaled(x))
+        return len(x) * np.concatenate([[1.0, loss], *(g.ravel() for g in down)])
+
+    return of_rows
 
 
-def _bins(scores: np.ndarray) -> np.ndarray:
-    return np.bincount(np.minimum((scores * BINS).astype(np.int64), BINS - 1), minlength=BINS).astype(np.float64)
+def _binned(models: list[Network]):
+    return lambda x: sum(_bins(m.raw(x)) for m in models)
 
 
-def train(featured: DataFrame, labels: DataFrame, folds: int = FOLDS, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | float:
-    """The network, or a constant score where there is nothing to learn from.
+def train(featured: DataFrame, labels: DataFrame, folds: int = FOLDS, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Pair | float:
+    """The networks, or a constant score where there is nothing to learn from.
 
     Of the labels only the rows of label 1 are used; label 0 says no more than
-    that there are bad texts. ``prior`` on the network is the estimate.
+    that there are bad texts.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), folds, 0))
     counts = own.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
@@ -196,41 +246,44 @@ def train(featured: DataFrame, labels: DataFrame, folds: int = FOLDS, positives:
         made.mean, made.scale = mean, scale
         return made
 
-    # the prior is read from positives that the network telling them apart has not seen
-    probe = new(4)
-    probe.fit_apart(probe.scaled(p[::2]), probe.scaled(u))
-    prior = estimated_prior(_bins(probe.score(p[1::2] if len(p) > 1 else p)), _over_all(rest, lambda x: _bins(probe.score(x)), BINS))
-
-    model = new(5)
-    model.prior = prior
-    p, u = model.scaled(p), model.scaled(u)
-    model.fit(p, u, prior)
-    shapes = [w.shape for w in model.w]
-    adam = Adam(model.w, 1e-4)
-    for _ in range(WHOLE_STEPS):
-        frozen = model
-
-        def of_rows(x: np.ndarray) -> np.ndarray:
-            _, down, _, loss = frozen.gradients(frozen.scaled(x))
-            return len(x) * np.concatenate([[1.0, loss], *(g.ravel() for g in down)])
-
-        found = _over_all(rest, of_rows, 2 + sum(w.size for w in model.w))
-        flat, other = found[2:] / found[0], []
-        for shape in shapes:
-            size = int(np.prod(shape))
-            other.append(flat[:size].reshape(shape))
-            flat = flat[size:]
-        up, down, _, as_zero = model.gradients(p)
-        adam.step(risk_gradient(up, down, as_zero, other, found[1] / found[0], prior), 5e-4)
-    return model
-
-
-def _scored(model: Network | float):
+    # the prior is read from positives that a network has not seen, each half in turn: first from networks that tell them from unlabelled text, then from fits with the prior so far
+    prior, halves = 1.0, (p[::2], p[1::2] if len(p) > 1 else p)
+    for k in range(1 + PRIOR_ROUNDS):
+        probes, fresh = [], np.zeros(BINS)
+        for i, seen in enumerate(halves):
+            probe = new(4 + 2 * k + i)
+            if k:
+                probe.fit(probe.scaled(seen), probe.scaled(u), prior, steps=1000)
+            else:
+                probe.fit_apart(probe.scaled(seen), probe.scaled(u), steps=1000)
+            fresh += _bins(probe.raw(halves[1 - i]))
+            probes.append(probe)
+        prior = min(prior, estimated_prior(fresh, _over_all(rest, _binned(probes), BINS)))
+
+    u, models = new(0).scaled(u), []
+    for i, own in enumerate(halves):
+        model = new(11 + i)
+        own = model.scaled(own)
+        model.fit(own, u, prior, steps=2000)
+        adam, sizes = Adam(model.w, 1e-4), [w.size for w in model.w]
+        for _ in range(WHOLE_STEPS):
+            found = _over_all(rest, _losses(model), 2 + sum(sizes))
+            flat = np.split(found[2:] / found[0], np.cumsum(sizes)[:-1])
+            up, down, _, as_zero = model.gradients(own)
+            adam.step(risk_gradient(up, down, as_zero, [g.reshape(w.shape) for g, w in zip(flat, model.w, strict=True)], found[1] / found[0], prior), 5e-4)
+        models.append(model)
+    # each is calibrated by the positives that it has not seen
+    for i, model in enumerate(models):
+        model.knots = posterior(_bins(model.raw(halves[1 - i])), _over_all(rest, _binned([model]), BINS), prior)
+    return Pair(models, prior)
+
+
+def _scored(model: Pair | float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                s = np.round(model.score(x), 9) if isinstance(model, Network) else np.full(len(x), model)
+                s = model.score(x) if isinstance(model, Pair) else np.full(len(x), model)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -254,12 +307,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Dat
     return featured.select("doc_id", "features", held_out(F.col("doc_id"), folds, 0).alias("held_out")).mapInArrow(trimmed(_scored(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _passing(model: Network | float):
+def _passing(model: Pair | float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                s = np.round(model.score(x), 9) if isinstance(model, Network) else np.full(len(x), model)
+                s = model.score(x) if isinstance(model, Pair) else np.full(len(x), model)
                 yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(s >= THRESHOLD))
 
     return run
