@@ -32,8 +32,8 @@ CLASS_DISTANCE, CLASS_SPREAD, WORD_PART = 0.19, 8.0, 0.93
 GUARD_WORDS, GUARD_CHARS = 50, 200
 #: Texts of ``GUARD_WORDS`` words that a language needs to serve as a reference; common words of each, and their bytes at most; bins of a distance.
 REFERENCE_TEXTS, COMMON_WORDS, WORD_BYTES, BINS = 30, 48, 16, 1000
-#: Words that a task counts before it passes their counts on.
-COUNTED = 200_000
+#: Words that a task counts before it passes their counts on, and parts in which a language's words are ranked.
+COUNTED, PARTS = 200_000, 64
 
 
 # ---------------------------------------------------------------- common words
@@ -74,10 +74,12 @@ def common_words(rows: DataFrame, least: int = REFERENCE_TEXTS, most: int = COMM
     """The ``most`` words that the most texts hold of each language that ``least`` texts or more name, by all rows of ``rows`` (text, lang)."""
     counts = rows.select("text", "lang").filter("lang IS NOT NULL").mapInArrow(trimmed(_word_counts), "lang string, word binary, texts long").groupBy("lang", "word").agg(F.sum("texts").alias("texts"))
     counts = stored(counts.filter(F.col("word").isNull() | (F.col("texts") > 1)), "words", compression="zstd")
-    known = counts.filter(F.col("word").isNull() & (F.col("texts") >= least)).select("lang")
-    best = Window.partitionBy("lang").orderBy(F.desc("texts"), "word")
-    tops = counts.filter("word IS NOT NULL").join(known, "lang", "left_semi").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most)
-    found: dict[str, list[bytes]] = {r["lang"]: [] for r in known.collect()}
+    found: dict[str, list[bytes]] = {r["lang"]: [] for r in counts.filter(F.col("word").isNull() & (F.col("texts") >= least)).select("lang").collect()}
+    # a large language's words are ranked in parts first
+    best = [F.desc("texts"), F.asc("word")]
+    tops = counts.filter(F.col("word").isNotNull() & F.col("lang").isin(*found)).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        tops = tops.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).filter(F.col("k") <= most)
     for r in tops.select("lang", "word").orderBy("lang", "k").collect():
         found[r["lang"]].append(bytes(r["word"]))
     return dict(sorted(found.items()))
