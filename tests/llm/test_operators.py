@@ -553,8 +553,13 @@ def test_estimated_prior():
     rng = np.random.default_rng(2)
     for prior in (0.2, 0.5, 0.9):
         good, mixed_ = rng.beta(6, 2, 20_000), np.concatenate([rng.beta(6, 2, int(40_000 * prior)), rng.beta(1, 6, int(40_000 * (1 - prior)))])
-        found = quality_model.estimated_prior(quality_model._bins(good), quality_model._bins(mixed_))
+        logit = lambda x: np.log(x / (1 - x))
+        positive, rest = quality_model._bins(logit(good)), quality_model._bins(logit(mixed_))
+        found = quality_model.estimated_prior(positive, rest)
         assert abs(found - prior) < 0.05
+        # the score is the share of good text among rows like these, and it rises
+        xs, ys = quality_model.posterior(positive, rest, prior)
+        assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= 0).all() and np.interp(logit(0.05), xs, ys) < 0.1 and np.interp(logit(0.9), xs, ys) > 0.85
 
 
 def test_learnt_models(spark):
