@@ -70,7 +70,15 @@ def jaro_winkler(a: str, b: str) -> float:
 def _column(kernel):
     @pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kernel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        # values repeat within a batch: each pair of values is compared once
+        seen: dict[tuple, float | None] = {}
+        out = []
+        for pair in zip(a, b, strict=True):
+            if pair not in seen:
+                x, y = pair
+                seen[pair] = None if x is None or y is None else 1.0 if x == y and x and kernel is not token_set_ratio else kernel(x, y)
+            out.append(seen[pair])
+        return pd.Series(out, dtype="float64")
 
     return run
 

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Titles, mail domains, address words and digraphs of the data this library serves.
+# Titles, mail domains, address words, digraphs and address forms of the data this library serves.
 TITLES = ("bapak", "bp", "ibu", "bu", "mr", "mrs", "ms", "dr", "drs", "dra", "h", "hj", "ir", "prof", "sdr", "sdri")
 DOMAINS = {"gmail.co": "gmail.com", "gmail.con": "gmail.com", "gmial.com": "gmail.com", "gmai.com": "gmail.com", "hotmial.com": "hotmail.com", "yaho.com": "yahoo.com", "yahoo.co": "yahoo.com"}
 ADDRESS_WORDS = {"jl": "jalan", "jln": "jalan", "gg": "gang", "kec": "kecamatan", "kel": "kelurahan", "kab": "kabupaten", "no": "nomor"}
 DIGRAPHS = (("oe", "u"), ("dj", "j"), ("tj", "c"), ("nj", "ny"), ("sj", "sy"), ("ch", "h"), ("ph", "f"), ("th", "t"), ("kh", "h"), ("q", "k"), ("v", "f"), ("x", "ks"), ("z", "s"))
 ADDRESS_FORMS = ((r"(?i)\b(?:jl|jln|jalan)\.?\s+", "Jl. "), (r"(?i)\b(?:no|nomor)\.?\s*(?=\d)", "No. "), (r"(?i)\brt\.?\s*(?=\d)", "RT "), (r"(?i)\brw\.?\s*(?=\d)", "RW "))
-_ACCENTED, _PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of a character in ASCII: one character, and several."""
+    one, more = {}, {}
+    for code in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)):
+        left = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else more)[chr(code)] = left
+    return one, more
+
+
+_ONE, _MORE = _decomposed()
+_WIDE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MORE) + "]"
 
 
 def stripped(x: Column) -> Column:
@@ -19,7 +34,10 @@ def stripped(x: Column) -> Column:
 
 
 def ascii_only(x: Column) -> Column:
-    return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition, and then ASCII alone."""
+    known = F.str_to_map(F.lit("\x02".join(f"{c}\x01{t}" for c, t in _MORE.items())), F.lit("\x02"), F.lit("\x01"))
+    spelt = F.when(x.rlike(_WIDE), F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spelt, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")).otherwise(x)
 
 
 def basic(x: Column) -> Column:
@@ -56,11 +74,33 @@ def phone(x: Column) -> Column:
     return F.when(d.startswith("8") & (F.length(d) >= 9), F.concat(F.lit("0"), d)).otherwise(d)
 
 
-def parsed_date(x: Column) -> Column:
-    """A date: ISO first, then day-first forms; null if none fits."""
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+_AT = "[ H:mm[:ss]]['T'H:mm[:ss]]"
+#: Shapes of dates and how they are read, in order: ISO, day first, month first where the day can't be a month, month names, digits alone.
+DATE_FORMS = (
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$", (f"yyyy-M-d{_AT}",)), (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_TIME}$", (f"yyyy/M/d{_AT}",)),
+    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_TIME}$", (f"d/M/yyyy{_AT}", f"M/d/yyyy{_AT}")), (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}{_TIME}$", (f"d-M-yyyy{_AT}", f"M-d-yyyy{_AT}")),
+    (rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}{_TIME}$", (f"d.M.yyyy{_AT}", f"M.d.yyyy{_AT}")), (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", ("d MMM yyyy",)),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ("d MMMM yyyy",)), (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ("MMM d[,] yyyy",)), (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ("MMMM d[,] yyyy",)),
+    (r"^[12]\d{3}(?:0[1-9]|1[0-2])[0-3]\d$", ("yyyyMMdd",)),
+)
+
+
+def parsed_timestamp(x: Column) -> Column:
+    """A date and its time of day: ISO first, then day-first forms; null if none fits."""
     v = stripped(x)
-    forms = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/MM/dd")
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(v, F.lit(f))) for f in forms])
+    # fractions of a second are left out
+    t = F.regexp_replace(v, r"(:\d{2})\.\d{1,6}$", "$1")
+    named = F.initcap(F.replace(t, F.lit("-"), F.lit(" ")))
+    out = F.lit(None).cast("timestamp")
+    for shape, forms in DATE_FORMS:
+        text = named if "MMM" in forms[0] else t
+        out = F.coalesce(out, F.when(v.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms])))
+    return out
+
+
+def parsed_date(x: Column) -> Column:
+    return F.to_date(parsed_timestamp(x))
 
 
 def date_text(x: Column) -> Column:
@@ -103,8 +143,10 @@ def standard_address(x: Column) -> Column:
 
 
 def signature(x: Column) -> Column:
-    v = F.regexp_replace(x, r"\p{Nd}+", "9")
-    return F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\p{Lu}", "\x01"), r"\p{Ll}", "a"), "\x01", "A"), F.lit(80))
+    """One sign for each run of digits, capitals and small letters of ASCII; 80 characters at most."""
+    for run, sign in (("[0-9]+", "9"), ("[A-Z]+", "A"), ("[a-z]+", "a")):
+        x = F.regexp_replace(x, run, sign)
+    return F.left(x, F.lit(80))
 
 
 def shape(x: Column) -> Column:
@@ -117,9 +159,9 @@ def shape(x: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"(?s)(\p{Nd}+|\p{Lu}+|\p{Ll}+|\s+|.)"), 1), one), ""), F.lit("$"))
 
 
-def number(x: Column) -> Column:
-    """A double, decimal comma allowed; null if the text isn't a number."""
-    v = F.replace(stripped(x), F.lit(","), F.lit("."))
+def number(x: Column, comma: bool = True) -> Column:
+    """A double, a decimal comma allowed where ``comma`` is; null if the text isn't a number."""
+    v = F.replace(stripped(x), F.lit(","), F.lit(".")) if comma else stripped(x)
     return F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double"))
 
 
@@ -130,7 +172,9 @@ def masked(x: Column, strategy: str, keep_start: int = 4, keep_end: int = 2) ->
         inner = F.concat(F.left(x, F.lit(keep_start)), F.repeat(F.lit("*"), F.greatest(n - keep_start - keep_end, F.lit(0))), F.right(x, F.lit(keep_end)))
         return F.when(n > keep_start + keep_end, inner).otherwise(F.repeat(F.lit("*"), n))
     if strategy == "email_mask":
-        return F.when(F.instr(x, "@") > 1, F.concat(F.left(x, F.lit(1)), F.lit("***"), F.substring(x, F.instr(x, "@"), F.lit(1 << 20)))).otherwise(F.lit("***"))
+        at = F.instr(x, "@")
+        shown = F.least(at - 1, F.lit(2))
+        return F.when(at > 0, F.concat(F.left(x, shown), F.repeat(F.lit("*"), F.greatest(at - 1 - shown, F.lit(1))), F.substring(x, at, F.lit(1 << 20)))).otherwise(F.repeat(F.lit("*"), n))
     if strategy == "hash":
         return F.substring(F.sha2(x, 256), 1, 12)
     raise ValueError(f"unknown masking strategy: {strategy}")

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import similarity as sim
 from sievelight.functions import text as tx
+from sievelight.operators.shared import running_counts, settled
 
-#: Rows of a block at most; what is shared by more says nothing.
+#: Rows of a block at most; what is shared by more says nothing. None takes blocks of any size.
 BLOCK_ROWS = 60
 
 
-def block_keys(method: str, values: list[Column], length: int = 4, size: int = 3) -> Column:
-    """The block keys of a row as an array, from normalised values."""
-    whole = F.concat_ws("|", *values)
+def block_keys(method: str, values: list[Column], length: int = 3) -> Column:
+    """The block keys of a row as an array, from normalised values; none where one of them is missing."""
     present = F.lit(True)
     for v in values:
         present &= v != ""
     v = values[0]
+    close = F.regexp_replace(v, r"\s+", "")
     keys = {
-        "exact": lambda: F.array(v), "composite_exact": lambda: F.array(whole), "prefix": lambda: F.array(F.left(v, F.lit(length))),
-        "token_prefix": lambda: F.array(tx.name_block(v)), "phonetic": lambda: F.array(tx.phonetic(v)), "ngram": lambda: tx.ngrams(v, size),
-        "email_local": lambda: F.array(F.left(F.split(v, "@")[0], F.lit(length))), "phone_suffix": lambda: F.array(F.right(v, F.lit(length))),
+        "exact": lambda: F.array(F.concat_ws("|", *values)), "composite_exact": lambda: F.array(F.concat_ws("|", *values)), "prefix": lambda: F.array(F.left(close, F.lit(length))),
+        "token_prefix": lambda: F.array(tx.name_block(v)), "phonetic": lambda: F.array(tx.phonetic(v)), "ngram": lambda: tx.ngrams(v, length),
+        "email_local": lambda: F.array(F.left(F.split(v, "@")[0], F.lit(length))), "phone_suffix": lambda: F.array(F.right(F.regexp_replace(v, "[^0-9]", ""), F.lit(length))),
     }[method]()
     return F.when(present, F.filter(keys, lambda k: k != "")).otherwise(F.array().cast("array<string>"))
 
@@ -31,19 +32,37 @@ def _labelled(name: str, keys: Column) -> Column:
     return F.transform(keys, lambda x: F.concat(F.lit(f"{name}:"), x))
 
 
+def _keyed(df: DataFrame, row_id: str, rules: list[tuple[str, Column]]) -> DataFrame:
+    return df.select(F.col(row_id).alias("id"), F.explode(F.concat(*[_labelled(n, k) for n, k in rules])).alias("block")).distinct()
+
+
 def blocks(df: DataFrame, row_id: str, rules: list[tuple[str, Column]], most: int = BLOCK_ROWS) -> DataFrame:
-    """block and its member ids (sorted), for blocks of 2 to ``most`` rows; larger ones are counted, never gathered."""
-    keyed = df.select(F.col(row_id).alias("id"), F.explode(F.concat(*[_labelled(n, k) for n, k in rules])).alias("block")).distinct()
+    """block and its member ids (sorted), for blocks of 2 to ``most`` rows; larger ones are counted, never gathered (``left_out`` names them)."""
+    keyed = _keyed(df, row_id, rules)
     sizes = keyed.groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size").between(2, most))
     return keyed.join(sizes, "block").groupBy("block").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
 
+def left_out(df: DataFrame, row_id: str, rules: list[tuple[str, Column]], most: int = BLOCK_ROWS) -> DataFrame:
+    """block and size of the blocks of more than ``most`` rows, which ``blocks`` passes over."""
+    return _keyed(df, row_id, rules).groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size") > most)
+
+
 def candidate_pairs(blocks_: DataFrame) -> DataFrame:
     """Distinct pairs a < b of the members of a block."""
     pairs = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return blocks_.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
+def pairs_within(df: DataFrame, row_id: str, rules: list[tuple[str, Column]], most: int | None = BLOCK_ROWS) -> DataFrame:
+    """Distinct pairs a < b of rows that share a block; ``most`` None takes blocks of any size, whose pairs are joined, never gathered."""
+    if most is not None:
+        return candidate_pairs(blocks(df, row_id, rules, most))
+    keyed = _keyed(df, row_id, rules)
+    left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
+    return left.join(right, "block").filter("a < b").select("a", "b").distinct()
+
+
 def term_frequencies(df: DataFrame, value: Column) -> DataFrame:
     """Each present normalised value and its share."""
     counts = df.select(value.alias("value")).filter("value <> ''").groupBy("value").agg(F.count("*").alias("n"))
@@ -79,33 +98,46 @@ def probability(terms: list[Column], prior: float = 0.05) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """id and cluster (its least id) of every id in ``pairs`` (a, b): labels spread by least neighbour and by jumping."""
-    spark = pairs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """id and cluster (its least id) of every id in ``pairs`` (a, b), by large-star and small-star (Kiveris et al., 2014).
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).checkpoint()
+    A round halves the depth of trees and is written to the checkpoint folder;
+    two numbers a round reach the driver.
+    """
+    down = lambda df: df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = settled(down(pairs.filter("a <> b")).distinct())
+    mark = None
     for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("n"))
-        spread = labels.join(near, "x").select("x", F.least("l", "n").alias("l"), F.col("l").alias("was"))
-        jumped = spread.join(labels.select(F.col("x").alias("l"), F.col("l").alias("j")), "l", "left").select("x", F.least("l", F.coalesce("j", "l")).alias("l"), "was").checkpoint()
-        moved = jumped.filter("l <> was").isEmpty()
-        labels = jumped.select("x", "l")
-        if moved:
-            return labels.select(F.col("x").alias("id"), F.col("l").alias("cluster"))
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == mark or not now[0]:
+            roots = edges.select(F.col("u").alias("id"), F.col("v").alias("cluster"))
+            return roots.union(roots.select("cluster", "cluster").distinct())
+        mark = now
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
+        edges = settled(down(small).distinct())
     raise RuntimeError("components did not settle")
 
 
 def calibrate(scores: DataFrame) -> DataFrame:
-    """threshold with the best balanced accuracy of ``scores`` (score, is_match), then specificity, then the highest; from running counts, without pairing rows."""
-    from pyspark.sql import Window
-
-    by = scores.groupBy("score").agg(F.count_if("is_match").alias("p"), F.count_if(~F.col("is_match")).alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    totals = F.broadcast(by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")))
-    rows = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).crossJoin(totals).filter("all_p > 0 AND all_n > 0")
-    rates = rows.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("all_p")).alias("sensitivity"), (1 - F.col("fp") / F.col("all_n")).alias("specificity"))
-    return rates.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2).orderBy(F.desc("balanced_accuracy"), F.desc("specificity"), F.desc("threshold")).limit(1)
+    """One row: available, positive and negative pairs, and the threshold with the best balanced accuracy, then specificity, then the highest.
+
+    ``scores`` has score and is_match. Candidates are 0.1, 1 and every score,
+    to four places. Without pairs of both kinds nothing is recommended.
+    Counts run over ranges of the scores, not in one task.
+    """
+    rows = scores.filter("score IS NOT NULL AND is_match IS NOT NULL").select("score", F.col("is_match").cast("boolean").alias("m"))
+    ends = scores.sparkSession.createDataFrame([(0.1,), (1.0,)], "score double").select("score", F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(True).alias("c"))
+    tried = rows.select(F.round("score", 4).alias("score"), F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(True).alias("c"))
+    counted = rows.select(F.col("score").cast("double"), F.col("m").cast("int").alias("p"), (~F.col("m")).cast("int").alias("n"), F.lit(False).alias("c"))
+    by = ends.union(tried).union(counted).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("c").alias("c")).withColumn("g", F.lit(0))
+    by = running_counts(by, "g", "score", "p").withColumnsRenamed({"below": "p_below", "total": "all_p"})
+    by = running_counts(by, "g", "score", "n").withColumnsRenamed({"below": "n_below", "total": "all_n"})
+    rates = by.filter("c AND all_p > 0 AND all_n > 0").select(F.round("score", 4).alias("threshold"), (1 - F.col("p_below") / F.col("all_p")).alias("sensitivity"), (F.col("n_below") / F.col("all_n")).alias("specificity"))
+    rates = rates.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
+    best = rates.agg(F.max_by(F.struct("threshold", "sensitivity", "specificity", "balanced_accuracy"), F.struct(F.round("balanced_accuracy", 4), F.round("specificity", 4), "threshold")).alias("b"))
+    sums = rows.agg(F.count_if("m").alias("positive_pairs"), F.count_if(~F.col("m")).alias("negative_pairs"))
+    return sums.crossJoin(best).select((F.col("b").isNotNull()).alias("available"), "positive_pairs", "negative_pairs", "b.threshold", "b.sensitivity", "b.specificity", "b.balanced_accuracy")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.operators.golden import golden
+
 STATES = {"confirm": "confirmed", "split": "split"}
 
 
@@ -65,6 +67,28 @@ def merge(clusters: DataFrame, members: DataFrame, pairs: DataFrame, merges: Dat
     return clusters.join(moves.select(F.col("other").alias("cluster")), "cluster", "left_anti"), moved(members), moved(pairs)
 
 
+def labelled_scores(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """score and is_match of the pairs of clusters that were confirmed or split: what a threshold is calibrated by."""
+    decided = clusters.filter(F.col("status").isin(*STATES.values())).select("cluster", (F.col("status") == STATES["confirm"]).alias("is_match"))
+    return pairs.join(decided, "cluster").select("score", "is_match")
+
+
+def duplicates(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The members of clusters that are pending or confirmed."""
+    return members.join(clusters.filter("status IN ('pending', 'confirmed')").select("cluster"), "cluster", "left_semi")
+
+
+def queue(clusters: DataFrame, status: str = "pending") -> DataFrame:
+    """The clusters to review, those that hold together best first."""
+    return clusters.filter(F.col("status") == status).orderBy(F.desc("cohesion"), "cluster")
+
+
+def goldens(rows: DataFrame, row_id: str, members: DataFrame, clusters: DataFrame, strategies: dict[str, str]) -> DataFrame:
+    """The golden records (cluster, values, provenance) of the confirmed clusters, from ``rows`` as they are; blanks fill nothing."""
+    own = members.join(clusters.filter("status = 'confirmed'").select("cluster"), "cluster", "left_semi").select("cluster", F.col("id").alias(row_id))
+    return golden(rows.join(own, row_id), "cluster", row_id, strategies, provenance=True)
+
+
 def differing(rows: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
     """cluster and, in order, the columns whose text takes more than one value in it (null is a value)."""
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
@@ -81,8 +105,8 @@ def dictionary(profiles: DataFrame, tops: DataFrame, rules: DataFrame, pii: Data
     """A row a column: its profile, most frequent values, rules and kind of personal data.
 
     ``profiles`` has column and any measures; ``tops`` column, value, count;
-    ``rules`` column and rule; ``pii`` column and pii_type. Values of columns
-    with personal data are not shown.
+    ``rules`` column and rule; ``pii`` column, pii_label and sample_masked.
+    Values of columns with personal data are not shown, but a masked one.
     """
     shown: Column = F.concat("value", F.lit(" ("), F.col("count").cast("string"), F.lit(")"))
     # the few values of a column's profile, never its rows
@@ -90,5 +114,5 @@ def dictionary(profiles: DataFrame, tops: DataFrame, rules: DataFrame, pii: Data
     named = rules.groupBy("column").agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("rules"))
     rows = profiles.join(best, "column", "left").join(named, "column", "left").join(pii, "column", "left")
     values = F.array_join(F.transform(F.slice("_t", 1, 5), lambda x: x["s"]), "; ")
-    top = F.when(F.col("pii_type").isNotNull(), F.concat(F.lit("[PII: "), "pii_type", F.lit("]"))).otherwise(F.coalesce(values, F.lit("")))
-    return rows.select(*profiles.columns, top.alias("top_values"), F.coalesce("rules", F.lit("")).alias("rules"), F.coalesce("pii_type", F.lit("")).alias("pii"))
+    top = F.when(F.col("pii_label").isNotNull(), F.concat(F.lit("[PII: "), "pii_label", F.lit("] contoh: "), "sample_masked")).otherwise(F.coalesce(values, F.lit("")))
+    return rows.select(*profiles.columns, top.alias("top_values"), F.coalesce("rules", F.lit("")).alias("rules"), F.coalesce("pii_label", F.lit("")).alias("pii"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,7 @@ def check_config(kind: str, params: dict) -> None:
         if not params.get("pattern"):
             raise ValueError("regex needs a pattern")
         re.compile(params["pattern"])
+        _java_pattern(params["pattern"])
     if kind == "cross_column":
         if params.get("operator") not in OPERATORS:
             raise ValueError(f"unknown operator: {params.get('operator')}")
@@ -48,6 +54,16 @@ def check_config(kind: str, params: dict) -> None:
             raise ValueError("cross_column needs left and right")
 
 
+def _java_pattern(pattern: str) -> None:
+    """Raises ValueError for a pattern that the engine's dialect doesn't take, where an engine runs."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (IllegalArgumentException, Py4JJavaError) as e:
+            raise ValueError(f"pattern not supported: {pattern}") from e
+
+
 def as_text(df: DataFrame, column: str) -> Column:
     """A column as text; whole doubles without a fraction."""
     c = F.col(column)
@@ -56,6 +72,14 @@ def as_text(df: DataFrame, column: str) -> Column:
     return c.cast("string")
 
 
+def column_text(df: DataFrame, column: str) -> Column:
+    """A column as text: a double column whose values are all whole, without fractions, else every value with one (one pass decides)."""
+    if dict(df.dtypes)[column] not in ("double", "float"):
+        return F.col(column).cast("string")
+    whole = df.agg(F.bool_and(F.col(column) == F.floor(column))).first()[0]
+    return F.col(column).cast("decimal(38,0)").cast("string") if whole else F.col(column).cast("string")
+
+
 def _within(value: Column, params: dict, make) -> Column:
     ok = value.isNotNull()
     if params.get("min") is not None:
@@ -123,25 +147,59 @@ def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def violations(df: DataFrame, rule: Rule) -> DataFrame:
-    """All rows that break ``rule``."""
+def violations(df: DataFrame, rule: Rule, order: str | None = None, page: int | None = None, page_size: int = 50) -> DataFrame:
+    """All rows that break ``rule``; in order of ``order``, and of these one page (from 1, at most 200 rows), where asked for."""
     if rule.kind == "cross_column":
         can, ok = _cross(df, rule)
-        return df.filter(can & ~ok)
-    return df.filter(~predicate(df, rule))
+        found = df.filter(can & ~ok)
+    else:
+        found = df.filter(~predicate(df, rule))
+    found = found.orderBy(order) if order else found
+    if page is None:
+        return found
+    if order is None or page < 1 or not 1 <= page_size <= 200:
+        raise ValueError("a page needs an order, a number from 1 and 1 to 200 rows")
+    return found.offset((page - 1) * page_size).limit(page_size)
+
+
+#: Hints of columns that get a rule by their name, in order of precedence.
+SUGGESTED = (("email_format", ("email", "mail"), {}), ("nik", ("nik", "ktp"), {}), ("phone_id", ("hp", "phone", "telp", "telepon"), {}), ("date_range", ("lahir", "birth"), {"min": "1900-01-01", "max": "2026-12-31"}))
 
 
 def suggest(columns: list[str]) -> list[Rule]:
-    """Built-in rules by column name: mail, then identity number, phone and birth date."""
-    out = []
+    """Built-in rules by column name: the first kind whose hints it holds."""
+    found = []
     for c in columns:
-        low = c.lower()
-        if "email" in low or "mail" in low:
-            out.append(Rule(c, "email_format"))
-        elif "nik" in low or "ktp" in low:
-            out.append(Rule(c, "nik"))
-        elif any(h in low for h in ("hp", "phone", "telp", "telepon")):
-            out.append(Rule(c, "phone_id"))
-        elif "lahir" in low or "birth" in low:
-            out.append(Rule(c, "date_range", {"min": "1900-01-01", "max": "2026-12-31"}))
-    return out
+        fits = [Rule(c, kind, params) for kind, hints, params in SUGGESTED if any(h in c.lower() for h in hints)]
+        found += fits[:1]
+    return found
+
+
+def proposal(reply: str) -> dict:
+    """The JSON object of a language model's reply, with or without a code fence."""
+    text = reply.strip()
+    if fenced := re.fullmatch(r"```(?:json)?(.*?)```", text, re.DOTALL):
+        text = fenced[1]
+    found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError("the reply is not one object")
+    return found
+
+
+def proposed_rule(reply: str | dict, columns: list[str]) -> Rule:
+    """The rule that a reply proposes, checked and never stored; an error where its type, parameters or columns can't be."""
+    found = proposal(reply) if isinstance(reply, str) else reply
+    params = found.get("params") or {}
+    if not isinstance(params, dict):
+        raise ValueError("params must be an object")
+    kind = found.get("rule_type")
+    column = params.get("left") if kind == "cross_column" else found.get("column_name")
+    rule = Rule(column, kind, params, found.get("description") or None)
+    if unknown := {column, *([params["right"]] if kind == "cross_column" else [])} - set(columns):
+        raise ValueError(f"unknown columns: {unknown}")
+    return rule
+
+
+def rule_from_words(ask: Callable[[str], str], instruction: str, columns: list[str]) -> Rule:
+    """A rule in words, put by ``ask`` (a language model of the caller's choice) and checked."""
+    return proposed_rule(ask(f"Columns: {', '.join(columns)}. Rule types: {', '.join(TYPES)}. Answer with one JSON object (column_name, rule_type, params, description). Rule: {instruction}"), columns)

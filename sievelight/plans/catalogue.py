@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.plans import quality
+from sievelight.plans import quality, resolution
 
-MODULES = [quality]
+MODULES = [quality, resolution]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

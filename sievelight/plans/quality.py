@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions import similarity as sim
 from sievelight.functions import text as tx
-from sievelight.operators import crosscheck, golden, privacy, profile, resolve, review
+from sievelight.operators import crosscheck, golden, privacy, profile, review
 from sievelight.operators.rules import Rule, run_rules, violations
 
 
@@ -15,6 +14,19 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def registry(queries: dict):
+    """A decorator that keeps queries and their SQL by name."""
+
+    def query(name: str, sql: str | None = None):
+        def keep(f):
+            queries[name] = (f, sql)
+            return f
+
+        return keep
+
+    return query
+
+
 #: The same projections in both dialects: the tables are clean, so faults are planted by key.
 DIRTY = """SELECT c_custkey,
  CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN '  ' ELSE c_name END AS c_name,
@@ -49,54 +61,65 @@ def _split(sql: str) -> list[str]:
 
 
 QUERIES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = (f, sql)
-        return f
-
-    return keep
+query = registry(QUERIES)
 
 
 # ---------------------------------------------------------------- profiles
 
-_NUM = "count(*) AS rows, count(*) - count({c}) AS null_count, count({c}) AS non_missing, cast(count({c}) AS double) / count(*) AS completeness, count(DISTINCT {c}) AS \"distinct\", cast(count(DISTINCT {c}) AS double) / count({c}) AS uniqueness, count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AS is_candidate_key"
+_SHAPE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({v}, '\\s', ' ', 'g'), '\\p{{Lu}}', 'A', 'g'), '\\p{{Ll}}', 'a', 'g'), '\\p{{L}}', 'a', 'g'), '\\p{{Nd}}', '9', 'g')"
+_NUMBER = "regexp_matches(trim({v}), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')"
+_DAY_FIRST = "coalesce(try_strptime({v}, '%Y-%m-%d'), try_strptime({v}, '%d/%m/%Y'), try_strptime({v}, '%m/%d/%Y'))"
 
 
 def _profile_sql(table: str, numeric: list[str], texts: list[str], head: str = "") -> str:
+    """A profile of each column by aggregates of its own."""
     parts = []
-    for c in numeric + texts:
-        v = f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')" if c in texts else c
-        e = f"CASE WHEN {v} IS NULL THEN NULL ELSE {c} END"
-        length = f"length({e})" if c in texts else "NULL"
-        x = f"cast({e} AS double)" if c in numeric else "cast(NULL AS double)"
-        stats = f"min({x}) AS minimum, max({x}) AS maximum, round(avg({x}), 4) AS mean, quantile_cont({x}, 0.5) AS median, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3, CASE WHEN count({x}) > 0 THEN round(coalesce(stddev_samp({x}), 0), 4) END AS std"
-        lengths = f"cast(min({length}) AS bigint) AS min_length, cast(max({length}) AS bigint) AS max_length, round(avg({length}), 4) AS mean_length" if c in texts else "0 AS min_length, 0 AS max_length, 0.0 AS mean_length"
-        parts.append(f"SELECT '{c}' AS \"column\", {_NUM.format(c='(' + e + ')')}, {lengths}, {stats} FROM {table}")
+    for i, c in enumerate(numeric + texts):
+        text = c if c in texts else f"CASE WHEN {c} = floor({c}) THEN cast(cast({c} AS bigint) AS varchar) ELSE cast({c} AS varchar) END"
+        kind = "'numeric'" if c in numeric else f"""CASE WHEN count(v) = 0 THEN 'text' WHEN bool_and(lower(trim(v)) IN ('true', 'false', 'yes', 'no', 'ya', 'tidak')) THEN 'boolean'
+ WHEN avg(CASE WHEN v IS NULL THEN NULL WHEN {_NUMBER.format(v='v')} THEN 1.0 ELSE 0 END) > 0.8 THEN 'numeric' WHEN avg(CASE WHEN v IS NULL THEN NULL WHEN {_DAY_FIRST.format(v='trim(v)')} IS NOT NULL THEN 1.0 ELSE 0 END) > 0.8 THEN 'date' ELSE 'text' END"""
+        number = f"cast({c} AS double)" if c in numeric else f"CASE WHEN kind = 'numeric' AND {_NUMBER.format(v='v')} THEN cast(trim(v) AS double) END"
+        parts.append(f"""SELECT {i} AS position, '{c}' AS "column", kind AS inferred_type, count(*) AS rows, count(*) - count(v) AS null_count, count(t) - count(v) AS blank_count, count(v) AS non_missing,
+ round(cast(count(v) AS double) / count(*), 4) AS completeness, count(DISTINCT v) AS "distinct", count(v) - count(DISTINCT v) AS duplicate_count, round(cast(count(DISTINCT v) AS double) / count(v), 4) AS uniqueness,
+ count(v) = count(*) AND count(DISTINCT v) = count(*) AS is_candidate_key, cast(min(length(v)) AS bigint) AS min_length, cast(max(length(v)) AS bigint) AS max_length, round(avg(length(v)), 2) AS mean_length, round(quantile_cont(cast(length(v) AS double), 0.5), 2) AS median_length,
+ min(x) AS minimum, max(x) AS maximum, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.75), 4) AS q3, CASE WHEN count(x) > 0 THEN round(coalesce(stddev_samp(x), 0), 4) END AS std,
+ strftime(min(day), '%Y-%m-%d') AS min_date, strftime(max(day), '%Y-%m-%d') AS max_date, round(max(same), 4) AS consistency
+FROM (SELECT *, {number} AS x, CASE WHEN kind = 'date' THEN {_DAY_FIRST.format(v='trim(v)')} END AS day, CASE WHEN kind = 'text' AND v IS NOT NULL AND present >= 5 THEN cast(count(*) OVER (PARTITION BY {_SHAPE.format(v='v')}) AS double) / present END AS same
+ FROM (SELECT *, CASE WHEN regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> '' THEN t END AS v FROM (SELECT *, {text} AS t FROM {table})) CROSS JOIN (SELECT count(v) AS present, {kind} AS kind FROM (SELECT CASE WHEN regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> '' THEN t END AS v FROM (SELECT {text} AS t FROM {table})))) GROUP BY kind""")
     return head + " UNION ALL ".join(parts)
 
 
-def _rounded(df: DataFrame, numeric: list[str]) -> DataFrame:
-    known = F.col("column").isin(numeric)
-    return df.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), "min_length": F.when(known, 0).otherwise(F.col("min_length")), "max_length": F.when(known, 0).otherwise(F.col("max_length")), "mean_length": F.when(known, 0.0).otherwise(F.round("mean_length", 4))})
+def _shown(df: DataFrame, columns: list[str]) -> DataFrame:
+    rows = profile.report(profile.profile(df, columns)).drop("physical_type", "top_values", "notes")
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("min_date", "max_date")})
 
 
 @query("agg13_profile_customer", _profile_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]))
 def profile_customer(spark, d):
-    numeric = ["c_custkey", "c_nationkey", "c_acctbal"]
-    return _rounded(profile.profile(_read(spark, d, "customer"), [*numeric, "c_name", "c_mktsegment"]), numeric)
+    return _shown(_read(spark, d, "customer"), ["c_custkey", "c_nationkey", "c_acctbal", "c_name", "c_mktsegment"])
 
 
-@query("agg13_profile_dirty", _profile_sql("dirty", [], ["c_name", "phone", "email"], WITH))
+@query("agg13_profile_dirty", _profile_sql("dirty", [], ["c_name", "phone", "email", "born", "amount", "address", "person"], WITH))
 def profile_dirty(spark, d):
-    return _rounded(profile.profile(_dirty(spark, d), ["c_name", "phone", "email"]), [])
+    return _shown(_dirty(spark, d), ["c_name", "phone", "email", "born", "amount", "address", "person"])
 
 
 @query("agg13_profile_orders", _profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]))
 def profile_orders(spark, d):
-    numeric = ["o_orderkey", "o_custkey", "o_totalprice"]
-    return _rounded(profile.profile(_read(spark, d, "orders"), [*numeric, "o_orderstatus", "o_orderpriority"]), numeric)
+    return _shown(_read(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"])
+
+
+@query("agg12_notes", WITH + """SELECT 'c_name' AS "column", concat_ws('; ', CASE WHEN count(v) < 0.9 * count(*) THEN concat(cast(round((1 - cast(count(v) AS double) / count(*)) * 100) AS integer), '% nilai kosong') END,
+ CASE WHEN cast(count(DISTINCT v) AS double) / count(v) < 0.9 THEN 'kemungkinan variasi ejaan / duplikat' END) AS notes FROM (SELECT CASE WHEN trim(c_name) <> '' THEN c_name END AS v FROM dirty)
+UNION ALL SELECT 'phone', 'format tidak seragam, perlu standardisasi' FROM dirty GROUP BY 1""")
+def notes(spark, d):
+    return profile.profile(_dirty(spark, d), ["c_name", "phone"]).select("column", "notes")
+
+
+@query("agg5_first_seen", """SELECT value, "count" FROM (SELECT cast(o_orderkey % 12 AS varchar) AS value, count(*) AS "count", min(o_orderkey) AS f FROM orders WHERE o_orderkey % 12 < 11 AND o_orderkey <= 144 GROUP BY 1) ORDER BY "count" DESC, f LIMIT 10""")
+def first_seen(spark, d):
+    rows = _read(spark, d, "orders").filter("o_orderkey % 12 < 11 AND o_orderkey <= 144").select("o_orderkey", (F.col("o_orderkey") % 12).cast("string").alias("k"))
+    return profile.profile(rows, ["k"], "o_orderkey").select(F.explode("top_values").alias("t")).select("t.value", "t.count")
 
 
 @query("agg5_top_values", "SELECT p_name AS value, count(*) AS \"count\", cast(count(*) AS double) / (SELECT count(*) FROM part) AS share FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -104,20 +127,28 @@ def top_values(spark, d):
     return profile.top_values(_read(spark, d, "part"), "p_name")
 
 
-@query("agg9_patterns")
+_RUN = "CASE WHEN regexp_matches(r, '^\\p{Nd}') THEN concat('\\d{', length(r), '}') WHEN regexp_matches(r, '^\\p{Lu}') THEN concat('[A-Z]{', length(r), '}') WHEN regexp_matches(r, '^\\p{Ll}') THEN concat('[a-z]{', length(r), '}') WHEN regexp_matches(r, '^\\s') THEN concat('\\s{', length(r), '}') WHEN regexp_matches(r, '[()\\[\\]{}?*+|^$\\\\.&~#-]') THEN concat('\\', r) ELSE r END"
+
+
+@query("agg9_patterns", WITH + f"""SELECT pattern, count(*) AS "count", min(v) AS example FROM (SELECT v, concat('^', array_to_string(list_transform(regexp_extract_all(v, '\\p{{Nd}}+|\\p{{Lu}}+|\\p{{Ll}}+|\\s+|.'), lambda r: {_RUN}), ''), '$') AS pattern
+ FROM (SELECT concat(person, ' <', phone, '>') AS v FROM dirty)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def patterns(spark, d):
-    return profile.patterns(_dirty(spark, d), "phone")
+    return profile.patterns(_dirty(spark, d).withColumn("v", F.concat("person", F.lit(" <"), "phone", F.lit(">"))), "v")
 
 
-@query("fn18_signature", WITH + "SELECT left(regexp_replace(regexp_replace(regexp_replace(phone, '[0-9]+', '9', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), 80) AS signature, count(*) AS \"count\" FROM dirty GROUP BY 1")
+@query("fn18_signature", WITH + """SELECT left(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]+', '9', 'g'), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), 80) AS signature, count(*) AS "count" FROM (SELECT concat(person, ' ID-', email, phone) AS v FROM dirty) GROUP BY 1""")
 def signatures(spark, d):
-    return _dirty(spark, d).groupBy(tx.signature(F.col("phone")).alias("signature")).agg(F.count("*").alias("count"))
+    return _dirty(spark, d).groupBy(tx.signature(F.concat("person", F.lit(" ID-"), "email", "phone")).alias("signature")).agg(F.count("*").alias("count"))
 
 
-@query("agg11_inferred_type", WITH + "SELECT 'amount' AS \"column\", CASE WHEN avg(CASE WHEN regexp_matches(replace(amount, ',', '.'), '^[0-9.]+$') THEN 1.0 ELSE 0 END) > 0.8 THEN 'numeric' ELSE 'text' END AS inferred_type FROM dirty UNION ALL SELECT 'born', CASE WHEN avg(CASE WHEN born <> '44/09/1994' THEN 1.0 ELSE 0 END) > 0.8 THEN 'date' ELSE 'text' END FROM dirty")
+_TYPE = f"""SELECT '{{c}}' AS "column", CASE WHEN bool_and(lower(trim(v)) IN ('true', 'false', 'yes', 'no', 'ya', 'tidak')) THEN 'boolean' WHEN avg(CASE WHEN {_NUMBER.format(v='v')} THEN 1.0 ELSE 0 END) > 0.8 THEN 'numeric'
+ WHEN avg(CASE WHEN {_DAY_FIRST.format(v='trim(v)')} IS NOT NULL THEN 1.0 ELSE 0 END) > 0.8 THEN 'date' ELSE 'text' END AS inferred_type FROM (SELECT {{e}} AS v FROM dirty) WHERE trim(v) <> ''"""
+_TYPED = {"amount": "amount", "dotted": "replace(amount, ',', '.')", "born": "born", "person": "person", "flag": "CASE WHEN c_custkey % 3 = 0 THEN ' Ya' WHEN c_custkey % 3 = 1 THEN 'tidak' ELSE '' END"}
+
+
+@query("agg11_inferred_type", WITH + " UNION ALL ".join(_TYPE.format(c=c, e=e) for c, e in _TYPED.items()))
 def inferred(spark, d):
-    rows = _dirty(spark, d)
-    return profile.inferred_type(rows, "amount").union(profile.inferred_type(rows, "born"))
+    return profile.inferred_types(_dirty(spark, d).select(*[F.expr(e).alias(c) for c, e in _TYPED.items()]), list(_TYPED))
 
 
 # ---------------------------------------------------------------- rules
@@ -161,6 +192,11 @@ def rule_violations(spark, d):
     return violations(_dirty(spark, d), RULES[0]).select("c_custkey", "email")
 
 
+@query("rul12_page", WITH + "SELECT c_custkey, email FROM dirty WHERE email = 'not-an-email' ORDER BY c_custkey LIMIT 25 OFFSET 25")
+def violations_page(spark, d):
+    return violations(_dirty(spark, d), RULES[0], "c_custkey", 2, 25).select("c_custkey", "email")
+
+
 @query("rul13_latest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
 def latest(spark, d):
     return profile.latest(_read(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id")
@@ -196,6 +232,20 @@ def consistency(spark, d):
     return crosscheck.consistency(_dirty(spark, d), "c_custkey", "c_name", _read(spark, d, "customer"), "c_custkey", "c_name")
 
 
+@query("jn1_samples", f"SELECT cast(k AS varchar) AS \"key\" FROM (SELECT k, min(o_orderkey) AS f FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY 1) ORDER BY f LIMIT 10")
+def orphan_samples(spark, d):
+    rows = _read(spark, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 23 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS k")
+    return crosscheck.orphans(rows, "k", _read(spark, d, "customer"), "c_custkey", "o_orderkey", crosscheck.SAMPLES).select("key")
+
+
+@query("jn2_samples", WITH + """SELECT concat(a.c_custkey, ': "', a.amount, '" vs "', b.amount, '"') AS sample FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'nan' ELSE amount END AS amount FROM dirty) a JOIN (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'None' ELSE upper(amount) END AS amount FROM dirty) b USING (c_custkey)
+ WHERE a.amount IN ('nan', 'None') OR lower(a.amount) <> lower(b.amount) ORDER BY a.c_custkey LIMIT 10""")
+def mismatch_samples(spark, d):
+    rows = _dirty(spark, d)
+    a, b = rows.selectExpr("c_custkey", "CASE WHEN c_custkey % 10 = 0 THEN 'nan' ELSE amount END AS amount"), rows.selectExpr("c_custkey", "CASE WHEN c_custkey % 10 = 0 THEN 'None' ELSE upper(amount) END AS amount")
+    return crosscheck.inconsistencies(a, "c_custkey", "amount", b, "c_custkey", "amount", "c_custkey")
+
+
 # ---------------------------------------------------------------- outliers, personal data, standard forms
 
 _EVENTS = "(SELECT event_id, CASE WHEN event_id % 997 = 0 THEN value * 1000 ELSE value END AS value FROM events)"
@@ -207,18 +257,33 @@ SELECT event_id AS "key", value, CASE WHEN greatest(q1 - value, value - q3) > 1.
 FROM e, s WHERE greatest(q1 - value, value - q3) > 1.5 * (q3 - q1) OR abs(value - m) / sd > 3""")
 def outliers(spark, d):
     rows = _read(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 997 = 0 THEN value * 1000 ELSE value END AS value")
-    return profile.numeric_outliers(rows, "event_id", "value", None)
+    return profile.numeric_outliers(rows, "event_id", "value", None).drop("explanation")
+
+
+_KONTAK = "CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE concat('(0812) 3456-', lpad(cast(c_custkey % 10000 AS varchar(9)), 4, '0')) END"
+_NOMOR = "CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE concat('3171.', lpad(cast(c_custkey AS varchar(9)), 8, '0'), '-0001') END"
+_PII = {"c_name": "c_name", "phone": "phone", "email": "email", "address": "address", "amount": "amount", "kontak": _KONTAK, "nomor": _NOMOR, "no_ktp": "concat('x', cast(c_custkey AS varchar(9)))", "surat": "concat(person, '@', 'x.id')"}
+_SHARE = "avg(CASE WHEN {v} IS NULL THEN NULL WHEN regexp_matches({v}, '{p}') THEN 1.0 ELSE 0 END) > 0.6"
+
 
+def _pii_sql(c: str, e: str) -> str:
+    tests = [_SHARE.format(v="regexp_replace(v, '[\\s()-]', '', 'g')", p="^(\\+?62|0)8[0-9]{7,11}$"), _SHARE.format(v="v", p="^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"), _SHARE.format(v="regexp_replace(v, '[^0-9]', '', 'g')", p="^[0-9]{16}$")]
+    named = {"c_name": "name", "phone": "phone", "email": "email", "address": "address", "no_ktp": "nik"}.get(c, "")
+    case = " ".join(f"WHEN {t}{' OR true' if named == k else ''} THEN '{k}'" for k, t in zip(("phone", "email", "nik"), tests, strict=True))
+    return f"SELECT '{c}' AS \"column\", CASE {case} {f'ELSE {chr(39)}{named}{chr(39)}' if named in ('name', 'address') else ''} END AS pii_type FROM (SELECT {e} AS v FROM dirty)"
 
-@query("pii1_detect", "SELECT 'phone' AS \"column\", 'phone' AS pii_type UNION ALL SELECT 'email', 'email' UNION ALL SELECT 'c_name', 'name' UNION ALL SELECT 'address', 'address'")
+
+@query("pii1_detect", WITH + "SELECT * FROM (" + " UNION ALL ".join(_pii_sql(c, e) for c, e in _PII.items()) + ") WHERE pii_type IS NOT NULL")
 def detect(spark, d):
-    return privacy.detect(_dirty(spark, d), ["c_name", "phone", "email", "address", "amount"])
+    return privacy.detect(_dirty(spark, d).select(*[F.expr(e).alias(c) for c, e in _PII.items()])).select("column", "pii_type")
 
 
 @query("pii3_mask", WITH + """SELECT c_custkey, sha256(c_name)[1:12] AS c_name, CASE WHEN length(phone) > 6 THEN concat(phone[1:4], repeat('*', length(phone) - 6), phone[-2:]) ELSE repeat('*', length(phone)) END AS phone,
- CASE WHEN position('@' IN email) > 1 THEN concat(email[1:1], '***', email[position('@' IN email):]) ELSE '***' END AS email FROM dirty""")
+ CASE WHEN contains(email, '@') THEN concat(left(split_part(email, '@', 1), 2), repeat('*', cast(greatest(length(split_part(email, '@', 1)) - 2, 1) AS bigint)), '@', split_part(email, '@', 2)) ELSE repeat('*', length(email)) END AS email FROM
+ (SELECT * REPLACE (CASE WHEN c_custkey % 6 = 0 THEN 'a@x.id' WHEN c_custkey % 6 = 1 THEN '@x.id' ELSE email END AS email) FROM dirty)""")
 def mask(spark, d):
-    return privacy.mask(_dirty(spark, d), {"c_name": "name", "phone": "phone", "email": "email"}).select("c_custkey", "c_name", "phone", "email")
+    rows = _dirty(spark, d).withColumn("email", F.expr("CASE WHEN c_custkey % 6 = 0 THEN 'a@x.id' WHEN c_custkey % 6 = 1 THEN '@x.id' ELSE email END"))
+    return privacy.mask(rows, {"c_name": "name", "phone": "phone", "email": "email"}).select("c_custkey", "c_name", "phone", "email")
 
 
 @query("fn8_phone", WITH + f"SELECT c_custkey, {_PHONE} AS phone FROM {_P1}")
@@ -226,6 +291,21 @@ def phone(spark, d):
     return _dirty(spark, d).select("c_custkey", tx.phone(F.col("phone")).alias("phone"))
 
 
+@query("fn6_identifier", WITH + "SELECT c_custkey, regexp_replace(lower(concat(phone, '/', email)), '[^a-z0-9]', '', 'g') AS code FROM dirty")
+def identifier(spark, d):
+    return _dirty(spark, d).select("c_custkey", tx.identifier(F.concat("phone", F.lit("/"), "email")).alias("code"))
+
+
+@query("fn11_ngrams", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))))[1:8], ',') AS grams FROM (SELECT p_partkey, replace(lower(p_name), ' ', '') AS n FROM part)")
+def ngrams(spark, d):
+    return _read(spark, d, "part").select("p_partkey", F.array_join(tx.ngrams(tx.basic(F.col("p_name")), 3), ",").alias("grams"))
+
+
+@query("fn12_name_block", "SELECT p_partkey, array_to_string(list_sort(list_transform(string_split(lower(p_name), ' ')[1:2], lambda w: w[1:3])), '') AS code FROM part")
+def name_block(spark, d):
+    return _read(spark, d, "part").select("p_partkey", tx.name_block(F.col("p_name")).alias("code"))
+
+
 @query("fn4_email", WITH + "SELECT c_custkey, replace(lower(email), '@gmial.com', '@gmail.com') AS email FROM dirty")
 def email(spark, d):
     return _dirty(spark, d).select("c_custkey", tx.email(F.col("email")).alias("email"))
@@ -261,118 +341,6 @@ def changed(spark, d):
     return privacy.changes(_dirty(spark, d), {"c_name": "text", "email": "email"})
 
 
-# ---------------------------------------------------------------- entity resolution
-
-_KEYS = "SELECT DISTINCT c_custkey AS id, concat('email:', replace(lower(email), '@gmial.com', '@gmail.com')) AS block FROM dirty WHERE email <> 'not-an-email'"
-
-
-def _email_blocks(spark, d):
-    rows = _dirty(spark, d).filter("email <> 'not-an-email'")
-    return resolve.blocks(rows, "c_custkey", [("email", resolve.block_keys("exact", [tx.email(F.col("email"))]))])
-
-
-@query("er18_blocks", WITH + f"SELECT block, array_to_string(list(id ORDER BY id), ',') AS members FROM ({_KEYS}) GROUP BY block HAVING count(*) BETWEEN 2 AND 60")
-def email_blocks(spark, d):
-    return _email_blocks(spark, d).select("block", F.array_join("members", ",").alias("members"))
-
-
-@query("jn3_pairs", WITH + f"SELECT DISTINCT x.id AS a, y.id AS b FROM ({_KEYS}) x JOIN ({_KEYS}) y ON x.block = y.block AND x.id < y.id WHERE x.block IN (SELECT block FROM ({_KEYS}) GROUP BY block HAVING count(*) BETWEEN 2 AND 60)")
-def pairs(spark, d):
-    return resolve.candidate_pairs(_email_blocks(spark, d))
-
-
-@query("agg14_term_frequency", "SELECT lower(p_name) AS value, cast(count(*) AS double) / (SELECT count(*) FROM part) AS share FROM part GROUP BY 1")
-def frequencies(spark, d):
-    return resolve.term_frequencies(_read(spark, d, "part"), tx.basic(F.col("p_name")))
-
-
-@query("er9_jaro_winkler", "SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_name < b.p_name")
-def jaro_winkler(spark, d):
-    names = _read(spark, d, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.split("p_name", " ")[0].alias("k")), names.select(F.col("p_name").alias("b"), F.split("p_name", " ")[0].alias("k"))
-    return a.join(b, "k").filter("a < b").select("a", "b", F.round(sim.jaro_winkler_similarity("a", "b"), 6).alias("score"))
-
-
-@query("er12_scores", WITH + f""", k AS ({_KEYS}), f AS (SELECT c_mktsegment AS v, cast(count(*) AS double) / (SELECT count(*) FROM dirty) AS share FROM dirty GROUP BY 1),
-p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.block = y.block AND x.id < y.id WHERE x.block IN (SELECT block FROM k GROUP BY block HAVING count(*) BETWEEN 2 AND 60)),
-s AS (SELECT a, b, da.c_mktsegment = db.c_mktsegment AS same, least(greatest(fa.share, fb.share, 0.0001), 0.25) AS u0 FROM p JOIN dirty da ON da.c_custkey = a JOIN dirty db ON db.c_custkey = b JOIN f fa ON fa.v = da.c_mktsegment JOIN f fb ON fb.v = db.c_mktsegment),
-t AS (SELECT a, b, CASE WHEN same THEN 2 * ln(0.95 / u0) ELSE 2 * ln((1 - 0.95) / (1 - greatest(u0, 0.25))) END AS w FROM s)
-SELECT a, b, round(1 / (1 + exp(-(ln(0.05 / 0.95) + w))), 6) AS score FROM t""")
-def scores(spark, d):
-    rows = _dirty(spark, d)
-    share = resolve.term_frequencies(rows, tx.basic(F.col("c_mktsegment")))
-    own = rows.select("c_custkey", tx.basic(F.col("c_mktsegment")).alias("value")).join(share, "value")
-    sides = [own.select(F.col("c_custkey").alias(k), F.col("value").alias(f"v{k}"), F.col("share").alias(f"s{k}")) for k in "ab"]
-    both = resolve.candidate_pairs(_email_blocks(spark, d)).join(sides[0], "a").join(sides[1], "b")
-    equal = F.col("va") == F.col("vb")
-    term = resolve.log_odds(resolve.similarity("exact", F.col("va"), F.col("vb")), equal, F.col("sa"), F.col("sb"))
-    return both.select("a", "b", F.round(resolve.probability([term]), 6).alias("score"))
-
-
-@query("er21_components", WITH + f"SELECT id, min(id) OVER (PARTITION BY block) AS cluster FROM ({_KEYS}) WHERE block IN (SELECT block FROM ({_KEYS}) GROUP BY block HAVING count(*) BETWEEN 2 AND 60)")
-def clusters(spark, d):
-    return resolve.components(resolve.candidate_pairs(_email_blocks(spark, d)))
-
-
-@query("er6_fuzzy_methods")
-def fuzzy(spark, d):
-    names = _read(spark, d, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.split("p_name", " ")[0].alias("k")), names.select(F.col("p_name").alias("b"), F.split("p_name", " ")[0].alias("k"))
-    return a.join(b, "k").filter("a < b").select("a", "b", sim.fuzzy_ratio("a", "b").alias("ratio"), sim.token_sort("a", "b").alias("sorted"), sim.token_set("a", "b").alias("set"))
-
-
-@query("er25_calibrate", """WITH s AS (SELECT round(l_discount * 10 + l_tax, 2) AS score, l_returnflag = 'R' AS m FROM lineitem), c AS (SELECT score, count(*) FILTER (WHERE m) AS p, count(*) FILTER (WHERE NOT m) AS n FROM s GROUP BY 1),
-r AS (SELECT score AS threshold, cast(sum(p) OVER w AS double) / (SELECT sum(p) FROM c) AS sensitivity, 1 - cast(sum(n) OVER w AS double) / (SELECT sum(n) FROM c) AS specificity FROM c WINDOW w AS (ORDER BY score DESC))
-SELECT threshold, sensitivity, specificity, (sensitivity + specificity) / 2 AS balanced_accuracy FROM r ORDER BY balanced_accuracy DESC, specificity DESC, threshold DESC LIMIT 1""")
-def calibrate(spark, d):
-    return resolve.calibrate(_read(spark, d, "lineitem").select(F.round(F.col("l_discount") * 10 + F.col("l_tax"), 2).alias("score"), (F.col("l_returnflag") == "R").alias("is_match")))
-
-
-# ---------------------------------------------------------------- golden records, scores
-
-@query("gld_strategies", """WITH c AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus) AS f,
- CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 1048576 END AS r FROM orders)
-SELECT o_custkey, list(o_totalprice ORDER BY o_orderdate DESC, o_orderkey)[1] AS newest, list(o_orderpriority ORDER BY o_orderkey)[1] AS first, list(o_orderstatus ORDER BY n DESC, f)[1] AS common,
- list(o_clerk ORDER BY length(o_clerk) DESC, o_orderkey)[1] AS longest FROM (SELECT *, concat('n', o_orderkey % 1000) AS o_clerk FROM c) GROUP BY 1""")
-def strategies(spark, d):
-    rows = _read(spark, d, "orders").withColumns({"newest": F.col("o_totalprice"), "first": F.col("o_orderpriority"), "common": F.col("o_orderstatus"), "longest": F.concat(F.lit("n"), (F.col("o_orderkey") % 1000).cast("string"))})
-    return golden.golden(rows, "o_custkey", "o_orderkey", {"newest": "latest_update", "first": "first_non_null", "common": "most_frequent", "longest": "longest"}, updated="o_orderdate")
-
-
-@query("gld5_source_priority", """WITH c AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 1048576 END AS r FROM orders),
-k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY r, o_orderdate DESC, o_orderkey) AS p FROM c) SELECT o_custkey, o_totalprice FROM k WHERE p = 1""")
-def source_priority(spark, d):
-    return golden.golden(_read(spark, d, "orders"), "o_custkey", "o_orderkey", {"o_totalprice": "source_priority"}, updated="o_orderdate", source="o_orderpriority", priority=["1-URGENT", "2-HIGH"])
-
-
-_DAYS = "SELECT date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (WHERE value > 60) AS bad FROM events GROUP BY 1"
-
-
-def _daily(spark, d):
-    days = _read(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 60).alias("bad"))
-    return days.withColumn("score", 100 * (1 - F.col("bad") / F.col("n")))
-
-
-@query("mon3_alerts", f"""WITH s AS (SELECT day, 100 * (1 - cast(bad AS double) / n) AS score FROM ({_DAYS})), l AS (SELECT *, lag(score) OVER (ORDER BY day) - score AS fall FROM s)
-SELECT 'events' AS dataset, day, 'skor_rendah' AS alert, CASE WHEN score < 60 THEN 'tinggi' ELSE 'sedang' END AS severity FROM l WHERE score < 75
-UNION ALL SELECT 'events', day, 'drift_skor', CASE WHEN fall >= 20 THEN 'tinggi' ELSE 'sedang' END FROM l WHERE fall >= 10""")
-def alerts(spark, d):
-    return golden.alerts(_daily(spark, d).withColumn("dataset", F.lit("events")), "dataset", "day", "score")
-
-
-@query("agg15_dimensions", "SELECT c_mktsegment, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0 END) AS completeness, 1 - cast(count(*) FILTER (WHERE c_acctbal > 5000) AS double) / count(*) AS validity, 50 * (avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0 END) + 1 - cast(count(*) FILTER (WHERE c_acctbal > 5000) AS double) / count(*)) AS overall FROM customer GROUP BY 1")
-def dimensions(spark, d):
-    sums = _read(spark, d, "customer").groupBy("c_mktsegment").agg(F.avg((F.col("c_acctbal") > 0).cast("double")).alias("full"), F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 5000).alias("bad"))
-    none = F.lit(None).cast("double")
-    found = golden.dimensions(F.col("full"), none, F.col("n"), F.col("bad"), none, F.col("n"))
-    return sums.select("c_mktsegment", *[found[k].alias(k) for k in ("completeness", "validity", "overall")])
-
-
-@query("mon1_timeliness", "SELECT event_id, CASE WHEN event_id % 100 <= 20 THEN 1.0 ELSE greatest(0.0, 1 - (event_id % 100 - 20) / 20.0) END AS timeliness FROM events")
-def timeliness(spark, d):
-    return _read(spark, d, "events").select("event_id", golden.timeliness((F.col("event_id") % 100).cast("double"), F.lit(10.0)).alias("timeliness"))
-
-
 # ---------------------------------------------------------------- review, clean export, dictionary
 
 _REVIEW = "WITH c AS (SELECT o_custkey AS cluster, CASE WHEN o_custkey % 5 = 0 THEN 'split' ELSE 'pending' END AS status, count(*) AS n FROM orders GROUP BY 1) "

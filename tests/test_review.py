@@ -51,6 +51,6 @@ def test_dictionary_hides_personal_data(spark):
     profiles = spark.createDataFrame([("e", 1.0), ("s", 0.5)], "column string, completeness double")
     tops = spark.createDataFrame([("e", "a@b.id", 3), ("s", "on", 2), ("s", "off", 5)], "column string, value string, count long")
     rules = spark.createDataFrame([("e", "email_format"), ("e", "not_null")], "column string, rule string")
-    pii = spark.createDataFrame([("e", "email")], "column string, pii_type string")
+    pii = spark.createDataFrame([("e", "Email", "a*@b.id")], "column string, pii_label string, sample_masked string")
     got = _rows(review.dictionary(profiles, tops, rules, pii), "column", "top_values", "rules", "pii")
-    assert got == [("e", "[PII: email]", "email_format; not_null", "email"), ("s", "off (5); on (2)", "", "")]
+    assert got == [("e", "[PII: Email] contoh: a*@b.id", "email_format; not_null", "Email"), ("s", "off (5); on (2)", "", "")]
