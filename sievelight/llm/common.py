@@ -23,11 +23,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for ``name`` under the checkpoint folder that the cluster names.
 
-    The setting is read from the session. Only where it is unset (tests) does
-    the session get a local folder of its own.
+    The setting is read from the session. Only where it is unset, and the
+    session is local (tests), does it get a local folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="sievelight-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

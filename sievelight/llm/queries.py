@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_files
+from sievelight.llm import chat, language_id, media, mixing, ngram_join, packing, quality_model, quality_rules, sql, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op5_ngram_join": sql.OP5_SQL, "op8_suffix_dedup": sql.OP8_SQL}
