@@ -96,6 +96,9 @@ def _keyed(tokenizer: str, end_id: int):
     return run
 
 
+#: Bytes of ids in a range, about, at most.
+RANGE_BYTES = 64 << 20
+
 PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
@@ -146,12 +149,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, p
     A null text counts as empty and is its end id alone; ids may be null or
     repeat (each row is packed); other columns are ignored; an empty table
     gives no pieces. Equal keys are split by id, so copies of one text spread
-    over ranges.
+    over ranges; ranges hold about ``RANGE_BYTES`` of ids or less. The ids of
+    one text, of any length, are held by one task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = stored(rows.mapInArrow(trimmed(_keyed(tokenizer, end_id)), "doc_id long, curve long, doc_tokens long, ids binary"), "pack", compression="zstd")
-    sorted_ = keyed.repartitionByRange(partitions or shuffle_partitions(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    held = keyed.agg(F.sum(F.length("ids"))).first()[0] or 0
+    partitions = partitions or max(shuffle_partitions(spark), -(-held // RANGE_BYTES))
+    sorted_ = keyed.repartitionByRange(partitions, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     schema = ", ".join(f"{c} long" for c in PIECE)
     return sorted_.mapInArrow(trimmed(_packed(length)), schema)
 
