@@ -80,6 +80,21 @@ def column_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("decimal(38,0)").cast("string") if whole else F.col(column).cast("string")
 
 
+def json_record(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as a JSON object: null stays null, whole doubles are written without a fraction, and what JSON has no type for as text."""
+    parts = []
+    for c, kind in df.dtypes:
+        if columns is None or c in columns:
+            value = F.parse_json(as_text(df, c)) if kind in ("double", "float") else F.col(c) if kind in ("bigint", "int", "smallint", "tinyint", "boolean", "string") else F.col(c).cast("string")
+            parts.append(value.alias(c))
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+
+
+def key_digest(x: Column) -> Column:
+    """What is stored of a secret key: its SHA-256 in hexadecimal digits."""
+    return F.sha2(x.cast("string"), 256)
+
+
 def _within(value: Column, params: dict, make) -> Column:
     ok = value.isNotNull()
     if params.get("min") is not None:

@@ -1,5 +1,8 @@
 """Operators on small tables, and every query against its SQL on the smallest test data."""
 
+import datetime
+import hashlib
+import json
 import unicodedata
 
 import pytest
@@ -9,7 +12,7 @@ import __spark_entry__ as entry
 from sievelight.functions import similarity as sim
 from sievelight.functions import text as tx
 from sievelight.operators import crosscheck, golden, privacy, profile, resolve
-from sievelight.operators.rules import Rule, check_config, proposed_rule, rule_from_words, run_rules, suggest, violations
+from sievelight.operators.rules import Rule, check_config, column_text, json_record, key_digest, proposed_rule, rule_from_words, run_rules, suggest, violations
 from sievelight.plans import catalogue
 from sievelight.sources.files import coerce, read_delimited, sniff
 from tests.oracle import compare
@@ -125,6 +128,14 @@ def test_golden_dates_and_provenance(spark):
     assert golden.golden(df.drop("last_update"), "k", "o", {"v": "nothing known"}).filter("k = 1").first()["v"] == "a"
 
 
+def test_json_records(spark):
+    df = spark.createDataFrame([(1, 5.0, "a\"b", True, None), (2, 2.5, None, None, datetime.date(2024, 1, 5))], "i long, d double, s string, b boolean, t date")
+    got = [json.loads(r[0]) for r in df.orderBy("i").select(json_record(df)).collect()]
+    assert got == [{"i": 1, "d": 5, "s": 'a"b', "b": True, "t": None}, {"i": 2, "d": 2.5, "s": None, "b": None, "t": "2024-01-05"}] and isinstance(got[0]["d"], int)
+    assert df.select(key_digest(F.col("s"))).first()[0] == hashlib.sha256(b'a"b').hexdigest()
+    assert [r[0] for r in df.select(column_text(df, "d")).collect()] == ["5.0", "2.5"] and df.filter("i = 1").select(column_text(df.filter("i = 1"), "d")).first()[0] == "5"
+
+
 def test_proposed_rules():
     rule = proposed_rule('```json\n{"column_name": "age", "rule_type": "numeric_range", "params": {"min": 0}, "description": "ages"}\n```', ["age", "end"])
     assert (rule.column, rule.kind, rule.params, rule.name) == ("age", "numeric_range", {"min": 0}, "ages")
