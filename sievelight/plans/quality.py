@@ -388,12 +388,14 @@ def differing(spark, d):
     return review.differing(_read(spark, d, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"]).select("o_custkey", F.array_join("columns", ",").alias("columns"))
 
 
-@query("snk4_dictionary")
+_TOP = "SELECT '{c}' AS \"column\", string_agg(concat(v, ' (', n, ')'), '; ' ORDER BY n DESC, v) AS top_values, '{r}' AS rules, '' AS pii FROM (SELECT {c} AS v, count(*) AS n FROM dirty GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)"
+
+
+@query("snk4_dictionary", WITH + " UNION ALL ".join(_TOP.format(c=c, r=r) for c, r in (("person", "regex"), ("amount", "numeric_range"), ("c_mktsegment", ""))) + """ UNION ALL SELECT 'email',
+ concat('[PII: Email] contoh: ', left(e, 2), repeat('*', cast(greatest(position('@' IN e) - 3, 1) AS bigint)), substr(e, position('@' IN e))), 'email_format', 'Email' FROM (SELECT min(email) AS e FROM dirty)""")
 def dictionary(spark, d):
     rows, columns = _dirty(spark, d), ["person", "amount", "email", "c_mktsegment"]
-    tops = None
-    for c in columns:
-        own = profile.top_values(rows, c, 5).select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "count")
-        tops = own if tops is None else tops.union(own)
+    profiles = profile.profile(rows, columns)
+    tops = profiles.select("column", F.explode("top_values").alias("t")).select("column", "t.value", "t.count")
     rules = spark.createDataFrame([(r.column, r.kind) for r in RULES], "column string, rule string")
-    return review.dictionary(profile.profile(rows, columns), tops, rules, privacy.detect(rows, columns))
+    return review.dictionary(profiles.select("column"), tops, rules, privacy.detect(rows, columns))
