@@ -41,7 +41,7 @@ NUM, DEN = 4, 5
 SLOTS, FREQUENT = (1 << 18, 1 << 24), 64
 #: Rows of a bucket up to which all its pairs are formed at once.
 ALL_PAIRS = 32
-#: Rows of one key that a task joins, and keys with more rows that may be broadcast.
+#: Rows of one key that a task joins, and keys that may be broadcast.
 DEALT, SMALL = 1024, 100_000
 #: Multipliers of the orders beside the first.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -433,8 +433,9 @@ def _ended(pairs: DataFrame, of: DataFrame, column: str, crowded: DataFrame | No
 
 
 def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One text of each class in pairs. These are written first: where their table is small, as its size tells, no text is shuffled."""
+    """One text of each class in pairs. Their keys are written and counted first: while they are few, no text is shuffled to find them."""
     reps = stored(classes.join(_members(pairs), "cls", "left_semi").select("cls", F.col("rep.text_key").alias("key"), F.col("rep.doc_id").alias("id")), "reps")
+    reps = F.broadcast(reps) if reps.count() <= SMALL else reps
     return docs.join(reps, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
 
 
