@@ -308,32 +308,40 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Dat
 
 
 def _passing(model: Pair | float):
+    """Rows without their last column, the features, that the model doesn't reject."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                x = np.asarray(batch.column(batch.num_columns - 1).flatten(), np.float64).reshape(batch.num_rows, -1)
                 s = model.score(x) if isinstance(model, Pair) else np.full(len(x), model)
-                yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(s >= THRESHOLD))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(s >= THRESHOLD))
 
     return run
 
 
-def _featured_rows(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            part = batch.slice(i, 1024)
-            rows = np.array([features(t) for t in utf8(part.column(2))], np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "row", "features"])
+def _with_features(text: int):
+    """Rows with the features of the text in column ``text``."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                rows = np.array([features(t) for t in utf8(part.column(text))], np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "features"])
+
+    return run
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The rows of ``docs``, whole, that the classifier doesn't reject; features are computed once and written beside the rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    featured = stored(rows.mapInArrow(trimmed(_featured_rows), f"doc_id long, row {kind}, features array<float>"), "quality", compression="zstd")
-    model = train(featured.select("doc_id", "features"), labels, folds)
-    return featured.select("row", "features").mapInArrow(trimmed(_passing(model)), f"row {kind}").select("row.*")
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    featured = stored(rows.mapInArrow(trimmed(_with_features(names.index("text"))), f"{kinds}, features array<float>"), "quality", compression="zstd")
+    model = train(featured.select(F.col(f"c{names.index('doc_id')}").cast("long").alias("doc_id"), "features"), labels, folds)
+    return featured.mapInArrow(trimmed(_passing(model)), kinds).toDF(*names)
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -496,13 +496,30 @@ def cut_out(text: bytes, spans: list[tuple[int, int]], copies: int) -> tuple[byt
     return b"".join(kept), removed, runs
 
 
-def _kept(batches):
-    for batch in batches:
-        carried = batch.column(0)
-        for i in range(0, batch.num_rows, 1024):
-            rows = [cut_out(t, [(s["a"], s["b"]) for s in spans], copies) + (len(t),) for t, copies, spans in zip(utf8(batch.column(1).slice(i, 1024)), batch.column(2).slice(i, 1024).to_pylist(), batch.column(3).slice(i, 1024).to_pylist(), strict=True)]
-            kept, removed, runs, size = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([carried.slice(i, 1024), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+def _kept(width: int, as_text: bool):
+    """The first ``width`` columns, what is kept of the text after them (as text without the characters that a cut splits, or as bytes), and counts."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                text, copies, spans = part.columns[width:]
+                rows = [cut_out(t, [(s["a"], s["b"]) for s in own], n) + (len(t),) for t, n, own in zip(utf8(text), copies.to_pylist(), spans.to_pylist(), strict=True)]
+                kept, removed, runs, size = zip(*rows, strict=True)
+                left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], left, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*part.schema.names[:width], "kept", "n_bytes", "n_removed", "n_spans"])
+
+    return run
+
+
+def _cut_rows(docs: DataFrame, carry: list, as_text: bool = False) -> DataFrame:
+    """The columns of ``carry`` as c0, c1 and so on, kept, n_bytes, n_removed and n_spans."""
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
+    spans = repeated_spans(rows.select("tid", "text"))
+    names = rows.columns[: len(carry)]
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    schema = f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
+    return rows.join(spans, "tid").select(*names, "text", "copies", "spans").mapInArrow(trimmed(_kept(len(carry), as_text)), schema)
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -515,22 +532,16 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     scanned whole, by ``STRETCH`` bytes at a time.
     """
     carry = carry or ["doc_id"]
-    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
-    spans = repeated_spans(rows.select("tid", "text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
-    return rows.join(spans, "tid").select("row", "text", "copies", "spans").mapInArrow(trimmed(_kept), schema)
-
-
-def _decoded(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode("utf-8", "ignore") for k in batch.column(1).to_pylist()], pa.string())], ["row", "text"])
+    found = _cut_rows(docs, [F.col(c) for c in carry])
+    return found.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]).alias("row"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeats cut out of ``text``; a null text stays null, a character that a cut splits goes."""
-    kept = remove_repeats(docs, docs.columns).select("row", "kept")
-    texts = kept.mapInArrow(trimmed(_decoded), f"row {kept.schema['row'].dataType.simpleString()}, text string")
-    return texts.select(*[F.when(F.col("row.text").isNotNull(), F.col("text")).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    found = _cut_rows(docs, [F.col("text").isNull(), *[F.col(c) for c in others]], as_text=True)
+    at = {c: F.col(f"c{i + 1}").alias(c) for i, c in enumerate(others)}
+    return found.select(*[F.when(~F.col("c0"), F.col("kept")).alias("text") if c == "text" else at[c] for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
