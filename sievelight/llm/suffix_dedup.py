@@ -38,7 +38,7 @@ from sievelight.llm.common import released, stored, table, trimmed, utf8
 LENGTH, GRAM = 200, 64
 GRAMS = LENGTH - GRAM + 1
 #: Windows that are scanned at once, bytes of a run, suffixes in a block, and in a range.
-STRETCH, RUN_BYTES, BLOCK, RANGE = 1 << 20, 48 << 20, 512, 40_000
+STRETCH, RUN_BYTES, BLOCK, RANGE = 1 << 20, 32 << 20, 512, 40_000
 #: Splitters that a task may hold, and ranges whose splitters are chosen in one task.
 FAN, CHOSEN = 2048, 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
