@@ -336,6 +336,7 @@ def _with_features(text: int):
 
 def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The rows of ``docs``, whole, that the classifier doesn't reject; features are computed once and written beside the rows."""
+    # flat columns: as one struct, rows with very long texts crashed the JVM on their way to Python
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
