@@ -110,6 +110,27 @@ def test_large_groups_of_equal_rows(spark):
     assert [r["size"] for r in resolve.left_out(df, "id", keys).collect()] == [61]
 
 
+def test_equal_rows_without_pairs(spark, monkeypatch):
+    """Rows that one key alone makes the same: the clusters and pairs of the whole way, with neither pairs nor components built."""
+    sizes = (1, 2, 3, 19, 20, 21, 59, 60, 61, 80, 81, 101)
+    rows = [(f"v{k}", None) for k, n in enumerate(sizes) for _ in range(n)] + [(None, " ")] * 5
+    random.Random(3).shuffle(rows)
+    df = _frame(spark, rows, "a string, b string")
+
+    def got(config, most):
+        found = entities.resolve_entities(df, "id", config, most=most)
+        assert sorted((r["cluster"], r["members"]) for r in found.groups.collect()) == sorted((k, m) for k, (m, _) in _clusters(found).items())
+        return _clusters(found), sorted((r["cluster"], r["a"], r["b"], r["score"], tuple(r["parts"].items())) for r in found.pairs.collect())
+
+    # an identity rule that says the same makes it go the whole way
+    cases = [(most, DedupConfig(cluster_validation=v), DedupConfig(exact_match_rules=(ExactRule(("a",)),), cluster_validation=v)) for most, v in ((60, Validation()), (None, Validation(method="connected")))]
+    want = [got(whole, most) for most, _, whole in cases]
+    assert [len(m) for m, _ in want[1][0].values()].count(20) > 9
+    for name in ("pairs_within", "components"):
+        monkeypatch.setattr(resolve, name, lambda *a, **k: pytest.fail("built"))
+    assert [got(config, most) for most, config, _ in cases] == want
+
+
 def test_identity_rules_and_roles(spark):
     df = _frame(spark, [("Budi Santoso", "budi@example.com", "1-2"), ("Budi Santos", "budi@example.com", None), ("Siti Nuraini", "siti@example.com", "12"), ("Andi", None, None)], "nama string, email string, kode string")
     legacy = DedupConfig.from_dict({"threshold": 0.8, "rules": [{"column": "nama", "method": "token_sort"}, {"column": "email", "method": "email"}]})
