@@ -48,6 +48,27 @@ def test_derived_blocks_find_typos(spark):
     assert found == {(r["a"], r["b"]) for r in resolve.pairs_within(df, "id", entities.block_rules(df, rules), None).collect()}
 
 
+def test_pair_totals(spark):
+    """Totals of pairs in blocks of any size: equal rows, rows that share one or several of their blocks, rows without any, against pairs in memory."""
+    rng = random.Random(7)
+    rows = [(rng.choice("abc") if rng.random() < 0.7 else "", rng.choice(["p q", "q r", "r", ""])) for _ in range(150)]
+    df = _frame(spark, rows, "x string, y string")
+    rules = [("x", resolve.block_keys("exact", [F.col("x")])), ("y", F.filter(F.split("y", " "), lambda w: w != ""))]
+    of = {i: {("x", x)} - {("x", "")} | {("y", w) for w in y.split()} for i, (x, y) in enumerate(rows)}
+    want = sorted((a, b) for a, b in combinations(sorted(of), 2) if of[a] & of[b])
+    assert want == sorted((r["a"], r["b"]) for r in resolve.pairs_within(df, "id", rules, None).collect())
+    assert tuple(resolve.pair_totals(df, "id", rules).first()) == (len(want), sum(a for a, _ in want), sum(b for _, b in want))
+    for few in (df.limit(0), df.filter("id = 3")):
+        assert tuple(resolve.pair_totals(few, "id", rules).first()) == (0, None, None)
+
+
+def test_totals_of_a_large_block(spark):
+    """500,000 rows of one block: its 125 billion pairs are counted, not built."""
+    n = 500_000
+    found = resolve.pair_totals(spark.range(n), "id", [("k", F.array(F.lit("same")))])
+    assert tuple(found.first()) == (n * (n - 1) // 2, sum(i * (n - 1 - i) for i in range(n)), sum(i * i for i in range(n)))
+
+
 def _scores(spark, df, rules, pairs, prior=0.05):
     rows = entities.evidence(df, "id", rules, True)
     table = spark.createDataFrame(pairs, "a long, b long")
