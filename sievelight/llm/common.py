@@ -50,6 +50,17 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rested(spark: SparkSession) -> None:
+    """``released``, and executors give back what their heaps grew by: between large steps.
+
+    A heap that was filled once stays as large, and the Python workers of the
+    steps so far live on beside it: both share an executor's memory.
+    """
+    released(spark)
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from sievelight.llm import mixing, ngram_join
-from sievelight.llm.common import chunk_encoder, vocabulary
+from sievelight.llm.common import chunk_encoder, rested, vocabulary
 from tests.llm.test_operators import _texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, cls string, copies int, run string, kept string"
@@ -100,3 +100,16 @@ def test_empty_run(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_rest_executors(spark, docs, folder, monkeypatch):
+    """Stages begin by having executors give memory back; the collections run in tasks, beside the driver's own."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    before = full()
+    rested(spark)
+    assert full() - before > 1
+    called = []
+    monkeypatch.setattr(pipeline, "rested", called.append)
+    pipeline.packing(spark, docs.limit(3), folder)
+    assert called == [spark]
