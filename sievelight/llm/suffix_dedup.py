@@ -19,7 +19,8 @@ is smaller, and only at equal lengths are bytes compared, from there on. The
 merged order and its prefix lengths show which windows are equal: those whose
 suffixes share the part right of the anchor, and the same bytes left of it.
 A group of suffixes that a splitter may have cut reports its windows by hash,
-and these meet in one more aggregation.
+and these meet in one more aggregation. What repeats of a suffix is then one
+span, and each place of the suffix takes it from one row.
 """
 
 from __future__ import annotations
@@ -473,6 +474,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     cut = found.filter("window IS NOT NULL")
     again = cut.groupBy("window").agg(F.sum("times").alias("all")).filter("all > 1").select("window")
     hits = found.filter("window IS NULL").select("uid", "low", "high").union(cut.join(again, "window").select("uid", "low", "high"))
+    # windows of one suffix start less than a window's length apart, so the first to the last that repeat cover one span: a place meets one row
+    hits = stored(hits.groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high")), "hits", compression="zstd")
     listed = runs.filter("n IS NULL").select("uid", "tid", "at")
     spans = listed.join(hits, "uid").groupBy("tid").agg(F.collect_set(F.struct((F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + LENGTH).alias("b"))).alias("spans"))
     out = copies.join(spans, "tid", "left").select("tid", "copies", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

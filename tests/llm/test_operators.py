@@ -261,6 +261,30 @@ def test_ranges_of_a_shared_passage(spark, monkeypatch, fan):
     assert len(sizes) > 10 and max(sizes) <= 200
 
 
+@pytest.mark.parametrize("per_range", [40_000, 8])
+def test_one_span_for_each_place(spark, monkeypatch, per_range):
+    """A place of a suffix meets one row of what repeats, although suffixes at the ends of a range report each window on its own."""
+    kept, stored = {}, suffix_dedup.stored
+
+    def watched(df, name, **options):
+        kept[name] = stored(df, name, **options)
+        return kept[name]
+
+    monkeypatch.setattr(suffix_dedup, "RANGE", per_range)
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    passage = some(400)
+    texts = {bytes([i]): some(120) + passage + some(120) for i in range(50)}
+    rows = spark.createDataFrame(list(texts.items()), "tid binary, text string").repartition(3)
+    got = {bytes(r["tid"]): [(s["a"], s["b"]) for s in r["spans"]] for r in suffix_dedup.repeated_spans(rows).collect()}
+    places, cut = kept["runs"].filter("n IS NULL").count(), kept["found"].filter("window IS NOT NULL").count()
+    assert cut and sum(map(len, got.values())) <= places
+    for tid, t in texts.items():
+        at = [i for a, b in got[tid] for i in range(a, b)]
+        assert set(range(120, 520)) <= set(at) and len(set(at)) < 420 and t[120:520] == passage
+
+
 def test_repeats_of_long_texts(spark):
     """Repeats on both sides of, and across, the borders of the stretches that a long text is scanned by."""
     rng = np.random.default_rng(3)
